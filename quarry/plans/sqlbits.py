@@ -42,7 +42,7 @@ def visible_text(x: str) -> str:
 def html_text_lines(x: str) -> str:
     c = decode_entities(rx(drop_invisible(x), K.ANY_TAG_RE, "\n"))
     return (f"array_to_string(list_filter(list_transform(string_split({c}, chr(10)), "
-            f"l -> {strip('l')}), l -> l <> ''), chr(10))")
+            f"lambda l: {strip('l')}), lambda l: l <> ''), chr(10))")
 
 
 def fallback_body(x: str, max_chars: int = K.FALLBACK_BODY_CHARS) -> str:

@@ -48,7 +48,8 @@ def parse_record_files(files: DataFrame, schema: T.StructType = RECORD_SCHEMA) -
 
 def read_record_files(spark: SparkSession, path: str,
                       schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).select(
+        "value", F.input_file_name().alias("path"))
     return parse_record_files(files, schema)
 
 
@@ -67,5 +68,7 @@ def write_record_files(df: DataFrame, path: str, n_files: int, order: str = "seq
         .groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_o", "_j"))).alias("_rows"))
     items = F.array_join(F.transform("_rows", lambda r: r["_j"]), ", ")
     prefix = '[1, "not an object", null, ' if junk_elements else "["
-    per_file.select(F.concat(F.lit(prefix), items, F.lit("]")).alias("value")) \
-        .write.mode("overwrite").text(path)
+    # partitionBy puts each bucket in its own directory: one array per file even
+    # when AQE coalesces the buckets into fewer tasks.
+    per_file.select("_b", F.concat(F.lit(prefix), items, F.lit("]")).alias("value")) \
+        .write.mode("overwrite").partitionBy("_b").text(path)
