@@ -130,7 +130,7 @@ EMPTY_ANCHOR_RE = r"\[" + WS + r"*\]\("
 KEY_DETAIL_PATTERNS = (
     ("date", r"(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})"),
     ("amount", r"([$\x{20ac}\x{a3}]\d[\d,]*(?:\.\d+)?)"),
-    ("reference", r"\b([A-Z]{2,}-\d+)\b"),
+    ("reference", r"(?:^|[^\p{L}\p{N}_])([A-Z]{2,}-\d+)(?:[^\p{L}\p{N}_]|\z)"),
     ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
 )
 
