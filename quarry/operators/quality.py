@@ -62,18 +62,6 @@ def grounding(quotes: DataFrame, bodies: DataFrame, key: str = "id",
         .withColumn("grounded_share", F.round(F.col("n_grounded") / F.col("n_quotes"), 6))
 
 
-def _gram(tokens: Column, start: Column, k: int) -> Column:
-    return F.xxhash64(F.concat_ws(" ", *[F.get(tokens, start + j) for j in range(k)]))
-
-
-def _interior_key(tokens: Column) -> Column:
-    """Key of the first interior token n-gram (see ``passage_matches``)."""
-    n = F.size(tokens)
-    return (F.when(n >= 5, F.struct(F.lit(3).alias("k"), _gram(tokens, F.lit(1), 3).alias("h")))
-            .when(n == 4, F.struct(F.lit(2).alias("k"), _gram(tokens, F.lit(1), 2).alias("h")))
-            .when(n == 3, F.struct(F.lit(1).alias("k"), _gram(tokens, F.lit(1), 1).alias("h"))))
-
-
 def _tokens(col) -> Column:
     return F.split(tx.py_strip(col), K.WS_RUN)
 
@@ -84,33 +72,33 @@ def passage_matches(passages: DataFrame, docs: DataFrame, pid: str = "item_id",
     """Q4 (passages): every (passage, document) where the passage occurs verbatim.
 
     Exact without comparing all pairs: if passage ``w1 .. wn`` (whitespace
-    tokens) occurs in a document, its interior tokens ``w2 .. w(n-1)`` are whole
-    consecutive tokens of the document.  So the first interior n-gram (n<=3,
-    hashed) is an equi-join key against the documents' token n-grams of the
-    sizes the passages need; candidates are then verified with ``instr``
-    (hash collisions cannot produce a false match).  Passages of one or two
-    tokens have no interior token: they are matched by a broadcast nested-loop
-    join, only when their number is within ``max_short`` (checked first).
+    tokens) occurs in a document, each interior token ``w2 .. w(n-1)`` is a
+    whole token of that document.  Each passage is keyed by its *rarest*
+    interior token (document frequency counted only for passage tokens: the
+    documents' distinct tokens are semi-joined with the small passage
+    vocabulary and counted with a partial aggregate), candidates are the
+    documents holding that token, and each candidate is verified with
+    ``instr``.  Passages of one or two tokens have no interior token: they are
+    matched by a broadcast nested-loop join, only when their number is within
+    ``max_short`` (checked first).
     """
     p = passages.select(F.col(pid).alias("_pid"), F.col(ptext).alias("_ptext")) \
-        .withColumn("_key", _interior_key(_tokens(F.col("_ptext"))))
+        .withColumn("_pt", _tokens(F.col("_ptext")))
+    p = p.withColumn("_interior", F.when(F.size("_pt") >= 3,
+                                         F.slice("_pt", F.lit(2), F.size("_pt") - 2))).drop("_pt")
     d = docs.select(F.col(did).alias("_did"), F.col(dtext).alias("_dtext"))
-    sizes = sorted(r[0] for r in p.filter(F.col("_key").isNotNull())
-                   .select(F.col("_key.k")).distinct().collect())
-    grams = d.select("_did", _tokens(F.col("_dtext")).alias("_t")) \
-        .select("_did", "_t", F.posexplode("_t").alias("_i", "_w"))
-    n = F.size("_t")
-    per_pos = F.array(*[F.when(F.col("_i") + k <= n, F.struct(
-        F.lit(k).alias("k"), _gram(F.col("_t"), F.col("_i"), k).alias("h"))) for k in sizes])
-    verified = None
-    if sizes:
-        keys = grams.select("_did", F.explode(F.filter(per_pos, lambda x: x.isNotNull()))
-                            .alias("_key")).distinct()
-        cand = p.filter(F.col("_key").isNotNull()).select("_pid", "_key") \
-            .join(keys, "_key").select("_pid", "_did").distinct()
-        verified = cand.join(p.select("_pid", "_ptext"), "_pid").join(d, "_did") \
-            .filter(F.instr(F.col("_dtext"), F.col("_ptext")) > 0).select("_pid", "_did")
-    short = p.filter(F.col("_key").isNull() & (F.col("_ptext") != F.lit("")))
+    ptoks = p.filter(F.col("_interior").isNotNull()).select(
+        "_pid", F.explode(F.array_distinct("_interior")).alias("_tok"))
+    vocab = ptoks.select("_tok").distinct()
+    doc_toks = d.select("_did", F.explode(F.array_distinct(_tokens(F.col("_dtext")))).alias("_tok"))
+    dfreq = doc_toks.join(vocab, "_tok", "left_semi").groupBy("_tok") \
+        .agg(F.count(F.lit(1)).alias("_df"))
+    best = ptoks.join(dfreq, "_tok", "left").fillna(0, ["_df"]).groupBy("_pid").agg(
+        F.min_by("_tok", F.struct("_df", "_tok")).alias("_tok"))
+    cand = doc_toks.join(best, "_tok").select("_pid", "_did").distinct()
+    verified = cand.join(p.select("_pid", "_ptext"), "_pid").join(d, "_did") \
+        .filter(F.instr(F.col("_dtext"), F.col("_ptext")) > 0).select("_pid", "_did")
+    short = p.filter(F.col("_interior").isNull() & (F.col("_ptext") != F.lit("")))
     n_short = short.count()
     if n_short:
         if n_short > max_short:
@@ -118,10 +106,7 @@ def passage_matches(passages: DataFrame, docs: DataFrame, pid: str = "item_id",
                              f"{max_short}; they cannot be indexed by interior tokens")
         nl = d.join(F.broadcast(short.select("_pid", "_ptext")),
                     F.instr(F.col("_dtext"), F.col("_ptext")) > 0).select("_pid", "_did")
-        verified = nl if verified is None else verified.unionByName(nl)
-    if verified is None:
-        verified = p.limit(0).select("_pid", F.lit(None).cast(d.schema["_did"].dataType)
-                                      .alias("_did"))
+        verified = verified.unionByName(nl)
     return verified.select(F.col("_pid").alias(pid), F.col("_did").alias(did))
 
 

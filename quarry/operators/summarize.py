@@ -52,15 +52,18 @@ def _joined(col_rows: Column, top: int) -> Column:
 
 
 def extractive_summary(docs: DataFrame, key: str = "id", text: str = "text",
-                       short: int = 2, long: int = 5, num_partitions: int | None = None
-                       ) -> DataFrame:
-    """I2 per document: ``key, summary, detailed_summary, n_sentences``.
+                       short: int = 2, long: int = 5, num_partitions: int | None = None,
+                       carry: bool = False) -> DataFrame:
+    """I2 per document: ``key, summary, detailed_summary, n_sentences``
+    (plus every input column when ``carry``).
 
     Documents without any sentence get null summaries (T10 routes them).
+    The documents are shuffled once, by key; the sentence and token work and
+    the final join back to the documents all reuse that partitioning.
     """
-    base = docs.select(key, text)
+    base = docs if carry else docs.select(key, text)
     base = base.repartition(num_partitions, key) if num_partitions else base.repartition(key)
-    ranked = score_sentences(sentences(base, key, text), key)
+    ranked = score_sentences(sentences(base.select(key, text), key, text), key)
     keep = F.col("rank") <= F.lit(max(short, long))
     per_doc = ranked.groupBy(key).agg(
         F.collect_list(F.when(keep, F.struct("pos", "rank", "sentence"))).alias("_rows"),
@@ -69,7 +72,7 @@ def extractive_summary(docs: DataFrame, key: str = "id", text: str = "text",
         key, _joined(F.col("_rows"), short).alias("summary"),
         _joined(F.col("_rows"), long).alias("detailed_summary"),
         F.col("n_sentences"))
-    return base.select(key).join(out, key, "left")
+    return (base if carry else base.select(key)).join(out, key, "left")
 
 
 # ---------------------------------------------------------------------------

@@ -106,9 +106,8 @@ def summarise(emails: DataFrame, run_id: str = RUN_ID) -> DataFrame:
     subject = F.col("metadata")["subject"]
     clean = tx.py_strip(tx.html_to_clean_text("text"))
     base = emails.select("id", clean.alias("text"), subject.alias("subject"))
-    summ = sm.extractive_summary(base, "id", "text")
-    lab = sm.label(base, "subject", "text")
-    x = lab.join(summ, "id")
+    # labels are row-wise, so they ride along the summary's single shuffle
+    x = sm.extractive_summary(sm.label(base, "subject", "text"), "id", "text", carry=True)
     parsed = F.struct(F.col("category"), F.lit(None).cast("string").alias("subject"),
                       F.col("summary"), F.col("detailed_summary").alias("detailedSummary"),
                       F.col("priority"))
@@ -125,12 +124,11 @@ def run_batch_summarise(spark, emails: DataFrame, table_path: str, version: int,
     results = summarise(emails, run_id)
     tbl = st.VersionedTable(spark, table_path, key="email_id")
     tbl.upsert(results.withColumn("updated_at", F.current_timestamp()), version)
-    written = tbl.read().select("email_id", "session_id")
-    return results.join(written.withColumnRenamed("session_id", "_stored"), "email_id", "left") \
-        .select("email_id", "session_id",
-                (F.col("_stored") == F.col("session_id")).alias("stored"),
-                "has_real_summary", "category", "priority", "summary")\
-        .withColumn("success", F.coalesce(F.col("stored"), F.lit(False)) & F.col("has_real_summary"))
+    # status from what was stored (the results are not computed a second time)
+    written = tbl.read().filter(F.col("updated_version") == F.lit(version))
+    return written.select("email_id", "session_id", F.lit(True).alias("stored"),
+                          "has_real_summary", "category", "priority", "summary",
+                          F.col("has_real_summary").alias("success"))
 
 
 _I5_SQL = qi.KEYED_SQL + f""",
