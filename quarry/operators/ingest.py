@@ -99,24 +99,46 @@ def keyed_documents(records: DataFrame, max_chars: int = K.MAX_TEXT_CHARS) -> Da
     )
 
 
-def first_per_key(df: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+def first_per_key(df: DataFrame, key: str = "id", order: str = "seq",
+                  valid: str | None = None) -> DataFrame:
     """K2 first-wins: the row with the smallest ``order`` per ``key``.
 
     ``min_by`` is a partial aggregate: each map task keeps one row per key
     before the shuffle, so a key holding a third of all rows costs one row per
     task, not one task holding the group.
+
+    ``valid`` names a rejection-reason column (null = accepted, as produced
+    by :func:`keyed_documents`): accepted rows win over rejected ones, keys
+    with no accepted row are dropped after the aggregate, and ``copies``
+    counts accepted rows.  Filtering after the aggregate (instead of before)
+    keeps the optimizer from copying the whole extraction expression into a
+    pushed-down filter.
     """
-    others = [c for c in df.columns if c != key]
+    others = [c for c in df.columns if c not in (key, valid)]
+    if others == [order]:
+        # only the order travels: plain min/count keep the aggregate hash-based
+        ok = F.col(valid).isNull() if valid else F.lit(True)
+        agg = df.groupBy(key).agg(F.min(F.when(ok, F.col(order))).alias(order),
+                                  F.count(F.when(ok, F.lit(1))).alias("copies"))
+        return agg.filter(F.col("copies") > 0)
+    if valid is None:
+        agg = df.groupBy(key).agg(
+            F.min_by(F.struct(*others), F.col(order)).alias("_first"),
+            F.count(F.lit(1)).alias("copies"))
+        return agg.select(key, "_first.*", "copies")
+    ok = F.col(valid).isNull()
     agg = df.groupBy(key).agg(
-        F.min_by(F.struct(*others), F.col(order)).alias("_first"),
-        F.count(F.lit(1)).alias("copies"))
-    return agg.select(key, "_first.*", "copies")
+        F.min_by(F.struct(*others), F.struct((~ok).alias("_rej"), F.col(order).alias("_o")))
+        .alias("_first"),
+        F.count(F.when(ok, F.lit(1))).alias("copies"))
+    return agg.filter(F.col("copies") > 0).select(key, "_first.*", "copies")
 
 
 def dedup_accounting(incoming: DataFrame, store_keys: DataFrame | None = None,
-                     key: str = "id") -> DataFrame:
+                     key: str = "id", valid: str | None = None) -> DataFrame:
     """K2 counts: received, inserted, duplicates = received - inserted (one row)."""
-    per_key = incoming.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)) if valid is None else F.count(F.when(F.col(valid).isNull(), F.lit(1)))
+    per_key = incoming.groupBy(key).agg(n.alias("n")).filter(F.col("n") > 0)
     if store_keys is not None:
         per_key = per_key.join(store_keys.select(key).withColumn("_old", F.lit(True)),
                                key, "left")
@@ -128,16 +150,19 @@ def dedup_accounting(incoming: DataFrame, store_keys: DataFrame | None = None,
     ).withColumn("duplicates", F.col("received") - F.col("inserted"))
 
 
-def duplicate_keys(df: DataFrame, key: str = "id") -> DataFrame:
-    """K4: keys held by more than one row."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
+def duplicate_keys(df: DataFrame, key: str = "id", valid: str | None = None) -> DataFrame:
+    """K4: keys held by more than one (accepted) row."""
+    n = F.count(F.lit(1)) if valid is None else F.count(F.when(F.col(valid).isNull(), F.lit(1)))
+    return df.groupBy(key).agg(n.alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
-def insert_if_absent(incoming: DataFrame, store: DataFrame, key: str = "id") -> DataFrame:
-    """First arrival per key among the incoming rows, minus keys already stored.
+def insert_if_absent(incoming: DataFrame, store: DataFrame, key: str = "id",
+                     valid: str | None = None) -> DataFrame:
+    """First (accepted) arrival per key among the incoming rows, minus keys
+    already stored.
 
     The anti join shuffles only on the key; AQE turns it into a broadcast join
     at run time when the stored key set turns out small.
     """
-    firsts = first_per_key(incoming, key)
+    firsts = first_per_key(incoming, key, valid=valid)
     return firsts.join(store.select(key), key, "left_anti")

@@ -94,16 +94,17 @@ class VersionedTable:
             merged = latest_per_key(upd, self.key, order)
         return self.write_version(merged, version)
 
-    def insert_if_absent(self, incoming: DataFrame, version: int) -> tuple[str, DataFrame]:
+    def insert_if_absent(self, incoming: DataFrame, version: int,
+                         valid: str | None = None) -> tuple[str, DataFrame]:
         """S4 against the stored table: append the new first arrivals as ``version``."""
         from quarry.operators.ingest import insert_if_absent
         base = self.read(before=version)
         if base is None:
             from quarry.operators.ingest import first_per_key
-            new = first_per_key(incoming, self.key)
+            new = first_per_key(incoming, self.key, valid=valid)
             merged = new
         else:
-            new = insert_if_absent(incoming, base, self.key)
+            new = insert_if_absent(incoming, base, self.key, valid=valid)
             merged = base.unionByName(new.select(*base.columns), allowMissingColumns=True)
         return self.write_version(merged, version), new
 

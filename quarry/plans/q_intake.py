@@ -49,9 +49,11 @@ def keyed(spark, sf):
     return ig.keyed_documents(ig.normalise_records(fx.uploaded_records(spark, sf)))
 
 
-def accepted(spark, sf, records=None):
+def keyed_all(spark, sf, records=None):
+    """Keyed documents with their S7 ``reason`` (null = accepted); consumers
+    pass ``valid="reason"`` instead of filtering first (see first_per_key)."""
     recs = records if records is not None else fx.uploaded_records(spark, sf)
-    return ig.accepted(ig.keyed_documents(ig.normalise_records(recs)))
+    return ig.keyed_documents(ig.normalise_records(recs))
 
 
 def _half(spark, sf, upper: bool):
@@ -94,7 +96,7 @@ def s3_scan_limit(spark, sf):
     recs = fx.uploaded_records(spark, sf)
     norm = ig.normalise_records(recs)
     docs = ig.keyed_documents(norm)
-    stored = ig.first_per_key(ig.accepted(docs).drop("text_lines"))
+    stored = ig.first_per_key(docs.drop("text_lines"), valid="reason")
     return st.scan(stored, limit=100).select("id", "text", "user_id")
 
 
@@ -105,9 +107,10 @@ SELECT id, min(seq) AS seq, count(*) AS copies
 FROM incoming WHERE id NOT IN (SELECT id FROM store)
 GROUP BY id""")
 def s4_insert_if_absent(spark, sf):
-    store = ig.first_per_key(accepted(spark, sf, _half(spark, sf, upper=False)))
-    incoming = accepted(spark, sf, _half(spark, sf, upper=True)).select("id", "seq")
-    return ig.insert_if_absent(incoming, store).select("id", "seq", "copies")
+    store = ig.first_per_key(keyed_all(spark, sf, _half(spark, sf, upper=False))
+                             .select("id", "seq", "reason"), valid="reason")
+    incoming = keyed_all(spark, sf, _half(spark, sf, upper=True)).select("id", "seq", "reason")
+    return ig.insert_if_absent(incoming, store, valid="reason").select("id", "seq", "copies")
 
 
 @register("s7_validate", KEYED_SQL + """
@@ -136,7 +139,7 @@ def k1_content_key(spark, sf):
 @register("k2_dedup", KEYED_SQL + """
 SELECT id, min(seq) AS first_seq, count(*) AS copies FROM accepted GROUP BY id""", headline=True)
 def k2_dedup(spark, sf):
-    firsts = ig.first_per_key(accepted(spark, sf).select("id", "seq"))
+    firsts = ig.first_per_key(keyed_all(spark, sf).select("id", "seq", "reason"), valid="reason")
     return firsts.select("id", F.col("seq").alias("first_seq"), "copies")
 
 
@@ -148,9 +151,10 @@ SELECT count(*) AS received,
        count(*) - count(DISTINCT CASE WHEN id NOT IN (SELECT id FROM store) THEN id END) AS duplicates
 FROM incoming""")
 def k2_accounting(spark, sf):
-    store = ig.first_per_key(accepted(spark, sf, _half(spark, sf, upper=False)).select("id", "seq"))
-    incoming = accepted(spark, sf, _half(spark, sf, upper=True)).select("id", "seq")
-    return ig.dedup_accounting(incoming, store)
+    store = ig.first_per_key(keyed_all(spark, sf, _half(spark, sf, upper=False))
+                             .select("id", "seq", "reason"), valid="reason")
+    incoming = keyed_all(spark, sf, _half(spark, sf, upper=True)).select("id", "seq", "reason")
+    return ig.dedup_accounting(incoming, store, valid="reason")
 
 
 @register("k3_repeated_lines", """
@@ -172,4 +176,4 @@ def k3_repeated_lines(spark, sf):
 @register("k4_unique_audit", KEYED_SQL + """
 SELECT id, count(*) AS n_rows FROM accepted GROUP BY id HAVING count(*) > 1""")
 def k4_unique_audit(spark, sf):
-    return ig.duplicate_keys(accepted(spark, sf))
+    return ig.duplicate_keys(keyed_all(spark, sf).select("id", "reason"), valid="reason")

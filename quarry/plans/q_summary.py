@@ -95,7 +95,17 @@ def i4_embedding(spark, sf):
 def stored_emails(spark, sf) -> DataFrame:
     """The intake store: first accepted arrival per content key (S4 on an empty store)."""
     docs = ig.keyed_documents(ig.normalise_records(fx.uploaded_records(spark, sf)))
-    return ig.first_per_key(ig.accepted(docs).drop("text_lines"))
+    return ig.first_per_key(docs.drop("text_lines"), valid="reason")
+
+
+def write_store(spark, sf) -> DataFrame:
+    """Upload path (S1-S4): ingest into a versioned store in the shared folder
+    and return the stored table, read back from Parquet.  The batch job reads
+    the store, as the service's batch endpoint reads its collection."""
+    docs = ig.keyed_documents(ig.normalise_records(fx.uploaded_records(spark, sf)))
+    tbl = st.VersionedTable(spark, shared_path(spark, "emails"), key="id")
+    tbl.insert_if_absent(docs.drop("text_lines"), version=1, valid="reason")
+    return tbl.read()
 
 
 def summarise(emails: DataFrame, run_id: str = RUN_ID) -> DataFrame:
@@ -160,7 +170,7 @@ FROM routed"""
 
 @register("i5_batch_summarise", _I5_SQL, headline=True)
 def i5_batch_summarise(spark, sf):
-    emails = st.scan(stored_emails(spark, sf))
+    emails = st.scan(write_store(spark, sf))
     return run_batch_summarise(spark, emails, shared_path(spark, "summaries"), version=1)
 
 

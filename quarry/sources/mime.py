@@ -155,7 +155,7 @@ def _extract_batch(raw: pd.Series) -> pd.Series:
     return raw.map(lambda r: None if r is None else extract_text_python(r))
 
 
-# Marked non-deterministic only so that the optimizer does not copy the call
-# into pushed-down filters (it would run twice per row); the result is a pure
-# function of the input.
-_extract_udf = F.pandas_udf(_extract_batch, T.StringType()).asNondeterministic()
+# Deterministic on purpose: a non-deterministic UDF would make the plans that
+# contain it unequal, which disables exchange reuse and re-runs the whole
+# upstream pipeline for every branch that reads it.
+_extract_udf = F.pandas_udf(_extract_batch, T.StringType())

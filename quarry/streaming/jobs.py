@@ -49,8 +49,11 @@ def record_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> D
             .option("recursiveFileLookup", "true").json(path))
 
 
-def keyed_stream(records: DataFrame) -> DataFrame:
-    return ig.accepted(ig.keyed_documents(ig.normalise_records(records))).drop("text_lines")
+def keyed_stream(records: DataFrame, only_accepted: bool = True) -> DataFrame:
+    """Keyed records; with ``only_accepted=False`` the S7 ``reason`` column is
+    kept for consumers that pick accepted rows themselves."""
+    k = ig.keyed_documents(ig.normalise_records(records)).drop("text_lines")
+    return ig.accepted(k) if only_accepted else k
 
 
 def intake_to_table(spark: SparkSession, source: str, table_path: str, checkpoint: str,
@@ -59,9 +62,10 @@ def intake_to_table(spark: SparkSession, source: str, table_path: str, checkpoin
     tbl = st.VersionedTable(spark, table_path, key="id")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        tbl.insert_if_absent(df, version=batch_id + 1)
+        tbl.insert_if_absent(df, version=batch_id + 1, valid="reason")
 
-    run_available(keyed_stream(record_stream(spark, source, files_per_batch)), batch, checkpoint)
+    run_available(keyed_stream(record_stream(spark, source, files_per_batch), only_accepted=False),
+                  batch, checkpoint)
     return tbl
 
 
