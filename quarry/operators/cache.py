@@ -31,16 +31,27 @@ def put(entries: DataFrame, key: str = "key", ts: str = "ts", seq: str | None =
     return latest_per_key(entries, key, order)
 
 
+TAKE_ORDERED_MAX = 100_000
+
+
 def retain(cache: DataFrame, max_entries: int = K.CACHE_MAX_ENTRIES, ts: str = "ts",
            key: str = "key") -> DataFrame:
     """C3 retention: keep the ``max_entries`` newest entries (<= 0: unbounded).
 
-    ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: each task keeps
-    its own top n, so only ``n x tasks`` rows reach the final merge.
+    Up to ``TAKE_ORDERED_MAX`` entries, ``orderBy(...).limit(n)`` plans as
+    TakeOrderedAndProject: each task keeps its own top n, so only
+    ``n x tasks`` rows reach the final merge.  Larger caps use a distributed
+    rank (range buckets + offsets) and a filter, so no single task holds them.
     """
     if max_entries <= 0:
         return cache
-    return cache.orderBy(F.desc(ts), F.asc(key)).limit(max_entries)
+    if max_entries <= TAKE_ORDERED_MAX:
+        return cache.orderBy(F.desc(ts), F.asc(key)).limit(max_entries)
+    from quarry.operators.ordering import global_rank
+    from quarry.operators.reqlog import epoch_micros
+    neg = cache.withColumn("_neg_ts", -epoch_micros(F.col(ts), cache.schema[ts].dataType))
+    return global_rank(neg, "_neg_ts", tie=key, out="_rank") \
+        .filter(F.col("_rank") <= max_entries).drop("_neg_ts", "_rank")
 
 
 def _non_empty_object(value: Column) -> Column:
@@ -55,7 +66,8 @@ def lookup(requests: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int
     non-empty JSON object.  Adds ``hit``, ``age_s`` and ``cached`` (value on hit)."""
     c = cache.select(F.col(key), F.col(ts).alias("_cts"), F.col(value).alias("_cval"))
     j = requests.join(c, key, "left")
-    age = (F.unix_micros(now) - F.unix_micros(F.col("_cts"))) / F.lit(1e6)
+    # ``now`` and ``ts`` of the same type (both NTZ or both with time zone)
+    age = F.timestamp_diff("MICROSECOND", F.col("_cts"), now) / F.lit(1e6)
     fresh = F.lit(True) if ttl_seconds <= 0 else (age <= F.lit(float(ttl_seconds)))
     hit = F.col("_cts").isNotNull() & fresh & _non_empty_object(F.col("_cval"))
     return j.withColumn("age_s", age).withColumn("hit", F.coalesce(hit, F.lit(False))) \

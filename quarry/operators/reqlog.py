@@ -11,20 +11,33 @@ so a client holding a third of all rows is spread over its time buckets.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import constants as K
 from quarry.operators.ordering import (add_bucket, asof_next, chain_members, per_key_rank)
 
 _UP = Window.unboundedPreceding
+EPOCH_NTZ = _dt.datetime(1970, 1, 1)  # a naive datetime literal is TIMESTAMP_NTZ
+
+
+def epoch_micros(col: Column, dtype: T.DataType) -> Column:
+    """Microseconds since 1970-01-01 00:00:00 UTC.  A ``TIMESTAMP_NTZ`` wall
+    clock is read as UTC whatever the session time zone is."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ), col)
+    return F.unix_micros(col.cast("timestamp"))
 
 
 def request_log(events: DataFrame, client: str = "user_id", ts: str = "ts",
                 eid: str = "event_id", failure: Column | None = None,
                 latency: str | None = "value") -> DataFrame:
     """Normalise an event table into ``client, ts_us, event_id, failed, latency_ms``."""
-    cols = [F.col(client).alias("client"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
+    cols = [F.col(client).alias("client"),
+            epoch_micros(F.col(ts), events.schema[ts].dataType).alias("ts_us"),
             F.col(eid).alias("event_id")]
     cols.append((failure if failure is not None else F.lit(False)).alias("failed"))
     if latency:

@@ -239,7 +239,7 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.filter(F.col("event_type") != F.lit("click")).select(
         F.col("user_id").cast("string").alias("key"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").alias("ts"),
         F.when(F.col("event_type") == F.lit("error"), F.lit("{}")).otherwise(F.col("props"))
          .alias("value"),
         F.col("event_id").alias("seq"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import constants as K
 from quarry.functions import text as tx
 from quarry.operators import cache as ch
+from quarry.operators.reqlog import EPOCH_NTZ
 from quarry.plans import fixtures as fx
 from quarry.plans import sqlbits as sb
 from quarry.plans.registry import register
@@ -52,7 +53,7 @@ SELECT l.key,
 FROM lookups l LEFT JOIN newest n USING (key)""")
 def c2_cache_lookup(spark, sf):
     cache = ch.put(fx.cache_entries(spark, sf))
-    now = F.lit(fx.CACHE_NOW).cast("timestamp")
+    now = F.lit(fx.CACHE_NOW).cast("timestamp_ntz")
     return ch.lookup(fx.cache_lookups(spark, sf), cache, now).select("key", "age_s", "hit", "cached")
 
 
@@ -60,4 +61,5 @@ def c2_cache_lookup(spark, sf):
 SELECT key, epoch_us(ts) AS ts_us, value FROM newest ORDER BY ts DESC, key LIMIT {RETAIN}""")
 def c3_cache_retention(spark, sf):
     cache = ch.retain(ch.put(fx.cache_entries(spark, sf)), RETAIN)
-    return cache.select("key", F.unix_micros("ts").alias("ts_us"), "value")
+    return cache.select("key", F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ), F.col("ts"))
+                        .alias("ts_us"), "value")

@@ -42,7 +42,7 @@ def _record_chunks(spark, sf) -> str:
 def _log_chunks(spark, sf) -> str:
     e = table(spark, sf, "events")
     log = rl.request_log(e, "user_id", "ts", "event_id", F.col("event_type") == F.lit("error"))
-    week = F.floor((F.col("ts_us") - F.unix_micros(F.lit("2024-01-01").cast("timestamp")))
+    week = F.floor((F.col("ts_us") - F.lit(1_704_067_200_000_000))  # 2024-01-01 UTC
                    / F.lit(7 * 86400 * 1_000_000)).cast("int")
     return stage_chunks(log, week, shared_path(spark, "stream_log"), "parquet")
 

@@ -83,11 +83,11 @@ def test_upsert_null_overwrites_and_replay(spark):
 
 
 def test_cache_ttl_boundaries(spark):
-    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     cache = spark.createDataFrame([
         ("eq", "2024-01-30 00:00:00", '{"a": 1}'), ("over", "2024-01-29 23:59:59", '{"a": 1}'),
         ("empty", "2024-01-30 12:00:00", "{}"), ("bad", "2024-01-30 12:00:00", "not json")],
-        "key string, ts string, value string").withColumn("ts", F.col("ts").cast("timestamp"))
+        "key string, ts string, value string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     req = spark.createDataFrame([("eq",), ("over",), ("empty",), ("bad",), ("none",)], "key string")
     hits = {r.key: r.hit for r in ch.lookup(req, cache, now, 86400).collect()}
     assert hits == {"eq": True, "over": False, "empty": False, "bad": False, "none": False}
@@ -111,6 +111,16 @@ def test_retention_keeps_newest(spark):
     assert ch.retain(df, 0).count() == 10
 
 
+def test_retention_large_cap_distributed(spark, monkeypatch):
+    monkeypatch.setattr(ch, "TAKE_ORDERED_MAX", 2)
+    rows = [(f"k{i:03d}", f"2024-01-01 00:00:{i % 50:02d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, ts string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    want = sorted(rows, key=lambda r: (-int(r[1][-2:]), r[0]))[:37]  # newest first, ties by key
+    got = sorted(r.key for r in ch.retain(df, 37).collect())
+    assert got == sorted(r[0] for r in want)
+
+
 def test_quality_score_boundaries(spark):
     df = spark.createDataFrame([(0.248,), (0.2488,), (0.25,), (None,)], "confidence double")
     out = ql.quality_score(df).select("overall", "passed").collect()
