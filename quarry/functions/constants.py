@@ -133,6 +133,9 @@ KEY_DETAIL_PATTERNS = (
     ("reference", r"(?:^|[^\p{L}\p{N}_])([A-Z]{2,}-\d+)(?:[^\p{L}\p{N}_]|\z)"),
     ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
 )
+# A character every match of the kind contains (any one of them).
+KEY_DETAIL_REQUIRES = {"date": ("-", "/"), "amount": ("$", "\u20ac", "\u00a3"),
+                       "reference": ("-",), "email": ("@",)}
 
 
 def py_pattern(p: str) -> str:

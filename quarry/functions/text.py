@@ -152,6 +152,19 @@ def json_string(col) -> Column:
 
 
 def key_details(col):
-    """Q6: one array of distinct matches per detail kind."""
-    return {kind: F.array_distinct(F.regexp_extract_all(_c(col), F.lit(rx), F.lit(1)))
-            for kind, rx in K.KEY_DETAIL_PATTERNS}
+    """Q6: one array of distinct matches per detail kind.
+
+    Each pattern needs a character that most texts lack ('@', '-' or '/', a
+    currency sign); rows without it skip that regex (same result, less work).
+    """
+    c = _c(col)
+    out = {}
+    for kind, rx in K.KEY_DETAIL_PATTERNS:
+        need = K.KEY_DETAIL_REQUIRES[kind]
+        has = None
+        for ch in need:
+            t = F.instr(c, ch) > 0
+            has = t if has is None else (has | t)
+        out[kind] = F.when(has, F.array_distinct(F.regexp_extract_all(c, F.lit(rx), F.lit(1)))) \
+            .otherwise(F.array().cast("array<string>"))
+    return out

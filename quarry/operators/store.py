@@ -94,19 +94,37 @@ class VersionedTable:
             merged = latest_per_key(upd, self.key, order)
         return self.write_version(merged, version)
 
-    def insert_if_absent(self, incoming: DataFrame, version: int,
+
+
+class InsertOnlyTable:
+    """A keyed table that only ever gains rows (S4): one delta directory per
+    write, ``<path>/part=<n>``.  An insert reads only the *keys* of the earlier
+    deltas (column pruning), anti-joins, and writes its new rows as delta n;
+    re-running write n overwrites delta n only, so a replayed micro-batch is
+    idempotent and no write ever rewrites the table."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def parts(self) -> list[int]:
+        return sorted(int(d[5:]) for d in list_dirs(self.spark, self.path)
+                      if d.startswith("part="))
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        ps = [p for p in self.parts() if before is None or p < before]
+        if not ps:
+            return None
+        return self.spark.read.parquet(*[f"{self.path}/part={p}" for p in ps])
+
+    def insert_if_absent(self, incoming: DataFrame, part: int,
                          valid: str | None = None) -> tuple[str, DataFrame]:
-        """S4 against the stored table: append the new first arrivals as ``version``."""
-        from quarry.operators.ingest import insert_if_absent
-        base = self.read(before=version)
-        if base is None:
-            from quarry.operators.ingest import first_per_key
-            new = first_per_key(incoming, self.key, valid=valid)
-            merged = new
-        else:
-            new = insert_if_absent(incoming, base, self.key, valid=valid)
-            merged = base.unionByName(new.select(*base.columns), allowMissingColumns=True)
-        return self.write_version(merged, version), new
+        from quarry.operators.ingest import first_per_key, insert_if_absent
+        prior = self.read(before=part)
+        new = first_per_key(incoming, self.key, valid=valid) if prior is None else \
+            insert_if_absent(incoming, prior.select(self.key), self.key, valid=valid)
+        out = f"{self.path}/part={part}"
+        new.write.mode("overwrite").parquet(out)
+        return out, new
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -130,5 +148,5 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["scan", "latest_per_key", "upsert", "stamp", "VersionedTable", "append",
+__all__ = ["scan", "latest_per_key", "upsert", "stamp", "VersionedTable", "InsertOnlyTable", "append",
            "read_or_empty", "table_counts", "K"]

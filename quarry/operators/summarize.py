@@ -129,7 +129,7 @@ def label(df: DataFrame, subject: str = "subject", text: str = "text") -> DataFr
     :func:`word_pattern`, which the SQL form uses, at one regex pass per row).
     """
     lt = F.lower(F.concat_ws(" ", F.col(subject), F.col(text)))
-    x = df.withColumn("_words", F.array_distinct(F.split(lt, r"[^\p{L}]+")))
+    x = df.withColumn("_words", F.split(lt, r"[^\p{L}]+"))
     return x.withColumn("category", _label(F.col("_words"), CATEGORY_RULES, DEFAULT_CATEGORY)) \
         .withColumn("priority", _label(F.col("_words"), PRIORITY_RULES, DEFAULT_PRIORITY)) \
         .drop("_words")

@@ -22,24 +22,36 @@ from quarry.streaming import jobs as sj
 N_CHUNKS = 4
 
 
-def stage_chunks(df: DataFrame, chunk: F.Column, path: str, fmt: str) -> str:
-    """Write ``df`` as one directory per chunk value, in chunk order."""
+def stage_chunks(df: DataFrame, chunk: F.Column, path: str, fmt: str) -> tuple[str, int]:
+    """Write ``df`` as one directory per chunk value, in chunk order; returns the
+    path and the largest number of data files in a chunk (the stream's
+    ``maxFilesPerTrigger``, so that a micro-batch holds about one chunk)."""
     x = df.withColumn("_chunk", chunk)
     ids = sorted(r[0] for r in x.select("_chunk").distinct().collect())  # at most N_CHUNKS + 1
+    spark = df.sparkSession
+    most = 1
     for c in ids:
-        x.filter(F.col("_chunk") == c).drop("_chunk").write.mode("overwrite") \
-            .format(fmt).save(f"{path}/chunk={c:05d}")
-    return path
+        out = f"{path}/chunk={c:05d}"
+        x.filter(F.col("_chunk") == c).drop("_chunk").write.mode("overwrite").format(fmt).save(out)
+        most = max(most, _count_data_files(spark, out))
+    return path, most
 
 
-def _record_chunks(spark, sf) -> str:
+def _count_data_files(spark, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sum(1 for st in fs.listStatus(p) if not st.getPath().getName().startswith(("_", ".")))
+
+
+def _record_chunks(spark, sf) -> tuple[str, int]:
     recs = fx.uploaded_records(spark, sf)
     n = table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
     chunk = F.floor(F.col("seq") * F.lit(N_CHUNKS) / F.greatest(n, F.lit(1))).cast("int")
     return stage_chunks(recs, chunk, shared_path(spark, "stream_records"), "json")
 
 
-def _log_chunks(spark, sf) -> str:
+def _log_chunks(spark, sf) -> tuple[str, int]:
     e = table(spark, sf, "events")
     log = rl.request_log(e, "user_id", "ts", "event_id", F.col("event_type") == F.lit("error"))
     week = F.floor((F.col("ts_us") - F.lit(1_704_067_200_000_000))  # 2024-01-01 UTC
@@ -53,17 +65,17 @@ _LOG_SCHEMA = "client BIGINT, ts_us BIGINT, event_id BIGINT, failed BOOLEAN, lat
 @register("s4_stream_intake", qi.KEYED_SQL + """
 SELECT id, min(seq) AS seq FROM accepted GROUP BY id""")
 def s4_stream_intake(spark, sf):
-    src = _record_chunks(spark, sf)
+    src, per_batch = _record_chunks(spark, sf)
     tbl = sj.intake_to_table(spark, src, shared_path(spark, "stream_store"),
-                             shared_path(spark, "stream_ckpt"))
+                             shared_path(spark, "stream_ckpt"), files_per_batch=per_batch)
     return tbl.read().select("id", "seq")
 
 
 @register("k2_stream_dedup", qi.KEYED_SQL + """
 SELECT DISTINCT id FROM accepted""")
 def k2_stream_dedup(spark, sf):
-    src = _record_chunks(spark, sf)
-    keyed = sj.keyed_stream(sj.record_stream(spark, src)) \
+    src, per_batch = _record_chunks(spark, sf)
+    keyed = sj.keyed_stream(sj.record_stream(spark, src, per_batch), only_accepted=False) \
         .withColumn("arrival", F.timestamp_seconds(F.col("seq") + F.lit(1_704_067_200)))
     out = shared_path(spark, "stream_dedup")
     sj.run_available(sj.dedup_stream(keyed).select("id"), sj.append_batches(out),
@@ -74,9 +86,9 @@ def k2_stream_dedup(spark, sf):
 @register("r1_stream_rate_limit", qr._r1_sql(qr.WIDE_WINDOW_S, qr.WIDE_LIMIT))
 def r1_stream_rate_limit(spark, sf):
     sj.use_rocksdb(spark)
-    src = _log_chunks(spark, sf)
+    src, per_batch = _log_chunks(spark, sf)
     out = shared_path(spark, "stream_r1")
-    dec = sj.stateful_decisions(sj.log_stream(spark, src, _LOG_SCHEMA),
+    dec = sj.stateful_decisions(sj.log_stream(spark, src, _LOG_SCHEMA, per_batch),
                                 sj.RateLimitProcessor(qr.WIDE_WINDOW_S, qr.WIDE_LIMIT),
                                 sj.DECISION_SCHEMA)
     sj.run_available(dec, sj.append_batches(out), shared_path(spark, "stream_ckpt"))
@@ -86,9 +98,9 @@ def r1_stream_rate_limit(spark, sf):
 @register("r2_stream_breaker", qr._r2_sql(qr.BREAKER_THRESHOLD, qr.BREAKER_TIMEOUT_S))
 def r2_stream_breaker(spark, sf):
     sj.use_rocksdb(spark)
-    src = _log_chunks(spark, sf)
+    src, per_batch = _log_chunks(spark, sf)
     out = shared_path(spark, "stream_r2")
-    calls = sj.stateful_decisions(sj.log_stream(spark, src, _LOG_SCHEMA),
+    calls = sj.stateful_decisions(sj.log_stream(spark, src, _LOG_SCHEMA, per_batch),
                                   sj.BreakerProcessor(qr.BREAKER_THRESHOLD, qr.BREAKER_TIMEOUT_S),
                                   sj.CALL_SCHEMA)
     sj.run_available(calls, sj.append_batches(out), shared_path(spark, "stream_ckpt"))
@@ -100,9 +112,9 @@ SELECT epoch_us(date_trunc('hour', ts)) AS window_start_us, user_id AS client,
        count(*) AS n_calls, round(avg(value), 6) AS avg_ms, max(value) AS max_ms
 FROM events GROUP BY 1, 2""")
 def r3_stream_windows(spark, sf):
-    src = _log_chunks(spark, sf)
+    src, per_batch = _log_chunks(spark, sf)
     tbl, sink = sj.upsert_batches(spark, shared_path(spark, "stream_r3"),
                                   ["window_start_us", "client"])
-    sj.run_available(sj.latency_window_stream(sj.log_stream(spark, src, _LOG_SCHEMA)), sink,
+    sj.run_available(sj.latency_window_stream(sj.log_stream(spark, src, _LOG_SCHEMA, per_batch)), sink,
                      shared_path(spark, "stream_ckpt"), output_mode="update")
     return tbl.read().select("window_start_us", "client", "n_calls", "avg_ms", "max_ms")

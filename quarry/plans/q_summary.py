@@ -103,8 +103,8 @@ def write_store(spark, sf) -> DataFrame:
     and return the stored table, read back from Parquet.  The batch job reads
     the store, as the service's batch endpoint reads its collection."""
     docs = ig.keyed_documents(ig.normalise_records(fx.uploaded_records(spark, sf)))
-    tbl = st.VersionedTable(spark, shared_path(spark, "emails"), key="id")
-    tbl.insert_if_absent(docs.drop("text_lines"), version=1, valid="reason")
+    tbl = st.InsertOnlyTable(spark, shared_path(spark, "emails"), key="id")
+    tbl.insert_if_absent(docs.drop("text_lines"), part=0, valid="reason")
     return tbl.read()
 
 

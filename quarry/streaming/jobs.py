@@ -57,12 +57,13 @@ def keyed_stream(records: DataFrame, only_accepted: bool = True) -> DataFrame:
 
 
 def intake_to_table(spark: SparkSession, source: str, table_path: str, checkpoint: str,
-                    files_per_batch: int = 1) -> st.VersionedTable:
-    """S4 as a stream: every micro-batch inserts its new first arrivals."""
-    tbl = st.VersionedTable(spark, table_path, key="id")
+                    files_per_batch: int = 1) -> st.InsertOnlyTable:
+    """S4 as a stream: every micro-batch inserts its new first arrivals as one
+    delta (named by the batch id, so a replay rewrites only that delta)."""
+    tbl = st.InsertOnlyTable(spark, table_path, key="id")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        tbl.insert_if_absent(df, version=batch_id + 1, valid="reason")
+        tbl.insert_if_absent(df, part=batch_id, valid="reason")
 
     run_available(keyed_stream(record_stream(spark, source, files_per_batch), only_accepted=False),
                   batch, checkpoint)
@@ -70,9 +71,17 @@ def intake_to_table(spark: SparkSession, source: str, table_path: str, checkpoin
 
 
 def dedup_stream(keyed: DataFrame, key: str = "id", event_time: str = "arrival",
-                 delay: str = "3650 days") -> DataFrame:
-    """K2 in a stream: duplicates of a key within the watermark delay are dropped."""
-    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+                 delay: str = "3650 days", valid: str | None = "reason") -> DataFrame:
+    """K2 in a stream: duplicates of a key within the watermark delay are dropped.
+
+    With ``valid`` (a rejection reason column) accepted and rejected rows are
+    de-duplicated apart and the rejected ones dropped afterwards, so no filter
+    sits over the key extraction (it would be pushed down and run it twice).
+    """
+    if valid is None or valid not in keyed.columns:
+        return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    x = keyed.withColumn("_ok", F.col(valid).isNull()).withWatermark(event_time, delay)
+    return x.dropDuplicatesWithinWatermark([key, "_ok"]).filter(F.col("_ok")).drop("_ok")
 
 
 # ------------------------------------------------------------ R1 / R2 state

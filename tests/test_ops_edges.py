@@ -59,12 +59,14 @@ def test_dedup_accounting_invariant(spark):
 
 def test_insert_if_absent_rerun_inserts_nothing(spark):
     path = shared_path(spark, "test_store")
-    tbl = st.VersionedTable(spark, path)
+    tbl = st.InsertOnlyTable(spark, path)
     inc = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "id string, seq long")
-    _, new1 = tbl.insert_if_absent(inc, 1)
+    _, new1 = tbl.insert_if_absent(inc, 0)
     assert new1.count() == 2
-    _, new2 = tbl.insert_if_absent(inc, 2)
+    _, new2 = tbl.insert_if_absent(inc, 1)
     assert new2.count() == 0 and tbl.read().count() == 2
+    _, again = tbl.insert_if_absent(inc, 1)  # replayed write: same delta, same table
+    assert again.count() == 0 and tbl.read().count() == 2 and tbl.parts() == [0, 1]
 
 
 def test_upsert_null_overwrites_and_replay(spark):
