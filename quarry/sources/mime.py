@@ -79,10 +79,11 @@ def extract_text(df: DataFrame, raw_col: str = "raw", out_col: str = "extracted"
     x = x.withColumn("_ctype", F.when(ct == F.lit(""), F.lit("text/plain")).otherwise(ct)) \
          .withColumn("_boundary", F.regexp_extract(c("_hdr"), BOUNDARY_RE, 1))
     x = x.withColumn("_multi", c("_ctype").startswith("multipart/") & (c("_boundary") != F.lit("")))
+    # part headers live in the body only for multiparts: plain bodies are not scanned
     x = x.withColumn("_route", c("_has") & (
         F.regexp_like(c("_hdr"), F.lit(ENCODED_RE))
-        | F.regexp_like(c("_body"), F.lit(ENCODED_RE))
-        | (c("_multi") & F.regexp_like(c("_body"), F.lit(NESTED_RE)))))
+        | (c("_multi") & (F.regexp_like(c("_body"), F.lit(ENCODED_RE))
+                          | F.regexp_like(c("_body"), F.lit(NESTED_RE))))))
     chunks = F.split(c("_body"), F.concat(F.lit(r"\Q--"), c("_boundary"), F.lit(r"\E")))
     inner = F.filter(F.slice(chunks, 2, 1 << 20), lambda p: ~p.startswith("--"))
     x = x.withColumn("_parts", F.when(c("_multi") & ~c("_route"), F.transform(inner, _part_text)))
