@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import constants as K
 from quarry.operators.ingest import accepted, validate
 from quarry.session import list_dirs, path_exists
 
@@ -149,4 +148,4 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 __all__ = ["scan", "latest_per_key", "upsert", "stamp", "VersionedTable", "InsertOnlyTable", "append",
-           "read_or_empty", "table_counts", "K"]
+           "read_or_empty", "table_counts"]

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from quarry.sources.tables import table
 
-NL = "\n"
-
 # --- uploaded records (S1/S2/S7/K1/K2/S4) -----------------------------------
 # id null on even doc_id; text null on doc_id % 6 = 3 (raw is used instead),
 # blank on doc_id % 50 = 7 (quarantined);
