@@ -126,6 +126,8 @@ def chain_members(edges: DataFrame, roots: DataFrame, node: str = "node", nxt: s
         if up.isEmpty():
             break
         levels.append(up)
+    # widening: every step reads the previous member set twice (union and
+    # join), so each is materialised; otherwise the plan would double per level
     members = roots.select(F.col(node).alias("_n"))
     for lv in reversed(levels):
         step = members.join(lv, "_n").select(F.col("_x").alias("_n"))

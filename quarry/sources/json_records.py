@@ -59,9 +59,14 @@ def read_record_lines(spark: SparkSession, path: str,
 
 
 def write_record_files(df: DataFrame, path: str, n_files: int, order: str = "seq",
-                       junk_elements: bool = True) -> None:
-    """Write records as JSON *array* files (``n_files`` of them, rows ordered by
-    ``order`` inside a file).  Each file holds at most one partition's rows."""
+                       junk_elements: bool = True, rows_per_file: int = 20000) -> None:
+    """Write records as JSON *array* files (at least ``n_files``, and enough that
+    none holds more than about ``rows_per_file`` rows; rows ordered by
+    ``order`` inside a file).  A file is built by one task, so its size is
+    bounded rather than growing with the data."""
+    import math
+    n_rows = df.count()
+    n_files = max(n_files, math.ceil(n_rows / max(1, rows_per_file)))
     j = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
     bucket = F.pmod(F.xxhash64(F.col(order)), F.lit(n_files))
     per_file = df.select(bucket.alias("_b"), F.col(order).alias("_o"), j.alias("_j")) \
