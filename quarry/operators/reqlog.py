@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import constants as K
 from quarry.operators.ordering import (add_bucket, asof_next, chain_members, per_key_rank)
+from quarry.session import cut_lineage
 
 _UP = Window.unboundedPreceding
 EPOCH_NTZ = _dt.datetime(1970, 1, 1)  # a naive datetime literal is TIMESTAMP_NTZ
@@ -67,7 +68,8 @@ def rate_limit(log: DataFrame, window_seconds: int = K.RATE_WINDOW_SECONDS,
     ``limit`` in a window are rejected but still counted.
     """
     w = int(window_seconds * 1_000_000)
-    ev = add_bucket(log.select("client", "ts_us", "event_id"), "ts_us", w)
+    # materialised once: the as-of, rank and summary branches all read it
+    ev = cut_lineage(add_bucket(log.select("client", "ts_us", "event_id"), "ts_us", w))
     nx = asof_next(ev, "client", "ts_us", "event_id", w, strict=False)
     roots = ev.groupBy("client").agg(F.min(F.struct("ts_us", "event_id")).alias("_r")) \
         .select(F.col("_r.event_id").alias("node"))
@@ -102,7 +104,7 @@ def breaker(log: DataFrame, threshold: int = K.BREAKER_THRESHOLD,
     re-opens at once, a success closes and resets the count.
     """
     t = int(timeout_seconds * 1_000_000)
-    ev = add_bucket(log.select("client", "ts_us", "event_id", "failed"), "ts_us", t)
+    ev = cut_lineage(add_bucket(log.select("client", "ts_us", "event_id", "failed"), "ts_us", t))
     r = per_key_rank(ev, "client", "ts_us", "event_id")
     # last success at or before each call (rank), bucket-local then carried
     succ_rank = F.when(~F.col("failed"), F.col("grank"))
