@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from quarry.plans.registry import load_all
 from quarry.sources.tables import TABLES
 
 SF = os.environ.get("QUARRY_TEST_SF", "/root/testdata/sf0.001")
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = {k: v for k, (v, _sql) in load_all().items()}
+SQL = {k: v for k, (_fn, v) in load_all().items() if v}
 
 
 def _norm(v):
@@ -35,6 +36,10 @@ def con():
     return c
 
 
+def test_entry_point_lists_the_library():
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
+
+
 def test_every_query_has_an_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(SQL)
     assert rows_only == {"i1_model_call", "i4_embedding"}
