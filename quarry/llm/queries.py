@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import substring_dedup
+from quarry.llm import sigtree_join, substring_dedup
 from quarry.sources.tables import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -20,6 +20,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, three-word shingles, Jaccard 0.9 or more."""
+    return sigtree_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, p=90, q=100)
+
+
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``, windows of 35 words."""
