@@ -46,10 +46,10 @@ def n_buckets_for(docs: DataFrame, n_items: int) -> int:
     return max(4 * shuffle_partitions(docs), math.ceil(n_items / BUCKET_ITEMS))
 
 
-def deal(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """doc_id and text with the block that they belong to; copies of a text spread by doc_id."""
+def deal(docs: DataFrame, n_blocks: int, *more: str) -> DataFrame:
+    """doc_id, text (and ``more``) with the block that they belong to; copies of a text spread by doc_id."""
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
-    return docs.select("doc_id", "text", block.alias("block"))
+    return docs.select("doc_id", "text", *more, block.alias("block"))
 
 
 def _packed(counts: np.ndarray) -> np.ndarray:
@@ -107,24 +107,28 @@ class Sorted:
 Items = Callable[[pa.Table], tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]
 
 
+def packed_rows(items: tuple, n_buckets: int, block: int) -> pa.Table:
+    """One row per bucket: the distinct hashes and their counts."""
+    hashes, weights, route = items
+    s = Sorted(hashes, route, n_buckets)
+    counts = s.counts(weights)
+    lo, hi = s.bounds()
+    return pa.table({
+        "bucket": pa.array(s.bucket[lo] if len(lo) else [], pa.int32()),
+        "block": pa.array([block] * len(lo), pa.int32()),
+        "keys": pa.array([s.keys[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary()),
+        "counts": pa.array([_packed(counts[a:b]).tobytes() for a, b in zip(lo, hi)], pa.binary())})
+
+
 def send(blocks: DataFrame, items: Items, n_buckets: int) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
-        hashes, weights, route = items(table)
-        s = Sorted(hashes, route, n_buckets)
-        counts = s.counts(weights)
-        lo, hi = s.bounds()
-        block = table.column("block")[0].as_py()
-        return pa.table({
-            "bucket": pa.array(s.bucket[lo] if len(lo) else [], pa.int32()),
-            "block": pa.array([block] * len(lo), pa.int32()),
-            "keys": pa.array([s.keys[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary()),
-            "counts": pa.array([_packed(counts[a:b]).tobytes() for a, b in zip(lo, hi)], pa.binary())})
+        return packed_rows(items(table), n_buckets, table.column("block")[0].as_py())
     return blocks.groupBy("block").applyInArrow(one, SENT)
 
 
 def merge_bucket(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(keys sent by each row, distinct keys, their totals, index of every sent key among the distinct)."""
-    keys = [np.frombuffer(x.as_buffer(), dtype=U64) for x in one_array(table.column("keys"))]
+    keys = keys_of(table)
     counts = [_unpacked(x.as_buffer(), len(k)) for x, k in zip(one_array(table.column("counts")), keys)]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.zeros(len(distinct), dtype=np.uint64)
@@ -141,22 +145,35 @@ def answer(sent: DataFrame, most: int | None = None) -> DataFrame:
         keys, _distinct, totals, at = merge_bucket(table)
         if most is not None:
             totals = np.minimum(totals, U64(most))
-        cuts = np.cumsum([0, *map(len, keys)])
-        back = totals[at]
-        return pa.table({"bucket": one_array(table.column("bucket")), "block": one_array(table.column("block")),
-                         "totals": pa.array([_packed(back[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])],
-                                            pa.binary())})
+        return answer_rows(table, totals[at], keys)
     return sent.groupBy("bucket").applyInArrow(one, ANSWER)
 
 
+def answer_rows(table: pa.Table, values: np.ndarray, keys: list[np.ndarray]) -> pa.Table:
+    """``values`` of all keys sent, cut up for the rows that sent them."""
+    cuts = np.cumsum([0, *map(len, keys)])
+    return pa.table({"bucket": one_array(table.column("bucket")), "block": one_array(table.column("block")),
+                     "totals": pa.array([_packed(values[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+
+def keys_of(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=U64) for x in one_array(table.column("keys"))]
+
+
+def spread_answers(items: tuple, n_buckets: int, buckets: list[int], totals: pa.Array) -> np.ndarray:
+    """The answers to a block, at the places of its items."""
+    hashes, _weights, route = items
+    s = Sorted(hashes, route, n_buckets)
+    lo, hi = s.bounds()
+    got = dict(zip(buckets, totals))
+    parts = [_unpacked(got[b].as_buffer(), z - a).astype(np.uint64)
+             for b, a, z in zip((s.bucket[lo].tolist() if len(lo) else []), lo, hi)]
+    return s.spread(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
+
+
 def receive(blocks: DataFrame, answers: DataFrame, items: Items, n_buckets: int, use, schema: str) -> DataFrame:
     """``use(table, totals)`` for each block, with every item's total over all documents."""
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes, _weights, route = items(left)
-        s = Sorted(hashes, route, n_buckets)
-        lo, hi = s.bounds()
-        got = dict(zip(right.column("bucket").to_pylist(), one_array(right.column("totals"))))
-        totals = [_unpacked(got[b].as_buffer(), z - a).astype(np.uint64)
-                  for b, a, z in zip((s.bucket[lo] if len(lo) else []), lo, hi)]
-        return use(left, s.spread(np.concatenate(totals) if totals else np.zeros(0, np.uint64)))
+        return use(left, spread_answers(items(left), n_buckets, right.column("bucket").to_pylist(),
+                                        one_array(right.column("totals"))))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import sigtree_join, substring_dedup
+from quarry.llm import bloom_lm, sigtree_join, substring_dedup
 from quarry.sources.tables import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -32,3 +32,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), k=35)
     return out.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.stop - s.start).alias("n_removed"),
                       F.sha2("kept_text", 256).alias("kept_sha256"), "spans")
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``; learns from the rows whose crc32(doc_id) mod 7 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return bloom_lm.score(docs, ~held_out).withColumn("held_out", ~F.col("train")).drop("train")
