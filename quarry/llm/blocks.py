@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.textvec import U64, one_array, salted
 
-BLOCK_BYTES = 4 << 20
-BUCKET_ITEMS = 2_000_000
+BLOCK_BYTES = 8 << 20
+BUCKET_ITEMS = 4_000_000
 SENT = "bucket int, block int, keys binary, counts binary"
 ANSWER = "bucket int, block int, totals binary"
 
@@ -39,11 +39,11 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def n_blocks_for(docs: DataFrame, n_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(4 * shuffle_partitions(docs), math.ceil(n_bytes / block_bytes))
+    return max(2 * shuffle_partitions(docs), math.ceil(n_bytes / block_bytes))
 
 
 def n_buckets_for(docs: DataFrame, n_items: int) -> int:
-    return max(4 * shuffle_partitions(docs), math.ceil(n_items / BUCKET_ITEMS))
+    return max(shuffle_partitions(docs), math.ceil(n_items / BUCKET_ITEMS))
 
 
 def deal(docs: DataFrame, n_blocks: int, *more: str) -> DataFrame:
