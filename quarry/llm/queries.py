@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bloom_lm, sigtree_join, substring_dedup
+from quarry.llm import bloom_lm, bpe_fst, resync_tokens, sigtree_join, substring_dedup
+from quarry.llm.vocabularies import BYTE_RANKS, PATTERN, PIECES
 from quarry.sources.tables import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -40,3 +41,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     return bloom_lm.score(docs, ~held_out).withColumn("held_out", ~F.col("train")).drop("train")
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` with the sentence-piece vocabulary."""
+    out = resync_tokens.count_tokens(table(spark, sf_dir, "documents"), PIECES)
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` encoded, and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe_fst.encode(docs, BYTE_RANKS, PATTERN, decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
