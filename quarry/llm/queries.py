@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bloom_lm, bpe_fst, resync_tokens, sigtree_join, substring_dedup
+from quarry.llm import bloom_lm, bpe_fst, line_dedup, resync_tokens, sigtree_join, substring_dedup
 from quarry.llm.vocabularies import BYTE_RANKS, PATTERN, PIECES
 from quarry.sources.tables import table
 
@@ -21,6 +21,13 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``: near-equal lines of four words or more, edit similarity 0.8."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=4, similarity=0.8)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``, three-word shingles, Jaccard 0.9 or more."""

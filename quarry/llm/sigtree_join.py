@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.blocks import shuffle_partitions
 from quarry.llm.components import EDGE, Forest, connected_components
-from quarry.llm.textvec import U64, mix, one_array, rolling, salted, slices
+from quarry.llm.textvec import PART_ROWS, U64, mix, one_array, parts, rolling, salted, slices
 from quarry.session import cut_lineage
 
 _SHINGLE = 0x9FB21C651E98DF25 | 1
@@ -104,7 +104,7 @@ def _sets_of(n: int, p: int, q: int):
     bounds = size_bounds(p, q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, sizes = [], []
             for tokens in shingle_sets(batch.column("text"), n):
                 ids.append(set_id(tokens) if len(tokens) else None)
@@ -120,7 +120,7 @@ def _routes_of(n: int, p: int, q: int):
     bounds = size_bounds(p, q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 2 * PART_ROWS):
             ids, keys = [], []
             seen = set()
             for tokens in shingle_sets(batch.column("text"), n):
@@ -266,7 +266,7 @@ def _verify(p: int, q: int):
 
 def _tokens_of(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             tokens = [s.tobytes() for s in shingle_sets(batch.column("text"), n)]
             yield pa.record_batch([*(batch.column(c) for c in ("sid", "grp", "block", "others")),
                                    pa.array(tokens, pa.binary())], names=["sid", "grp", "block", "others", "tokens"])

@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SEGMENT = 1 << 21          # bytes hashed at once: keeps the temporaries in cache
-SLICE_BYTES = 4 << 20      # documents taken together
+SEGMENT = 1 << 18          # bytes hashed at once: keeps the temporaries in cache
+SLICE_BYTES = 2 << 20      # documents taken together
+PART_ROWS = 1000           # rows of a batch whose results are sent on together
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
@@ -138,6 +139,14 @@ def rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * powers(base, n)[:n - k + 1])
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so that results are small; freed buffers go back to the system."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def one_array(column) -> pa.Array:
     """A table's column as one array."""
     if isinstance(column, pa.ChunkedArray):
