@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bloom_lm, bpe_fst, line_dedup, resync_tokens, sigtree_join, substring_dedup
+from quarry.llm import bloom_lm, bpe_fst, crf_quality, line_dedup, resync_tokens, sigtree_join, substring_dedup
 from quarry.llm.vocabularies import BYTE_RANKS, PATTERN, PIECES
 from quarry.sources.tables import table
 
@@ -57,6 +57,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``; the CRF learns from a bounded sample of ``labels``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crf = crf_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return crf_quality.label(docs, crf).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                               "base_failed", "kept", "content_share")
+
+
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` encoded, and decoded again."""
