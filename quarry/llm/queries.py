@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bloom_lm, bpe_fst, crf_quality, line_dedup, resync_tokens, sigtree_join, substring_dedup
+from quarry.llm import bloom_lm, bpe_fst, crf_quality, line_dedup, mixing, resync_tokens, sigtree_join, substring_dedup
 from quarry.llm.vocabularies import BYTE_RANKS, PATTERN, PIECES
 from quarry.sources.tables import table
 
@@ -73,3 +73,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_fst.encode(docs, BYTE_RANKS, PATTERN, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT source, source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM s),
+c AS (SELECT *, 3.0::DOUBLE * source_size AS lim,
+        sum(3.0::DOUBLE * source_size) OVER o AS lims, sum(w) OVER o AS ws,
+        sum(source_size) OVER () AS total, sum(w) OVER () AS all_w
+      FROM r WINDOW o AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, lim < (total - coalesce(lims, 0)) / (all_w - coalesce(ws, 0)) * w AS above FROM c),
+l AS (SELECT (max(total) - sum(CASE WHEN above THEN lim ELSE 0 END)) / sum(CASE WHEN above THEN 0 ELSE w END) AS rate FROM a),
+t AS (SELECT source, source_size, w, least(lim, rate * w) AS target FROM a, l),
+p AS (SELECT doc_id, size, source_size, target, w, round(target)::BIGINT AS fin,
+        coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(size, fin - st)) + greatest(0, least(size, fin - st - source_size))
+   + greatest(0, least(size, fin - st - 2 * source_size)))::BIGINT AS taken,
+  CASE WHEN size > 0 AND fin > st THEN 0.0 + CASE WHEN st / target * w > 0 THEN 2 * (st / target * w) /
+    (w0 + sqrt(w0 * w0 + 2 * sl * (st / target * w))) ELSE 0.0 END END AS first_position
+FROM p JOIN (VALUES (1.0::DOUBLE, 1.5::DOUBLE, -1.0::DOUBLE), (2.0, 2.0, 0.0), (3.0, 1.5, 3.0)) AS f(fw, w0, sl) ON fw = w
+"""
+
+
+@query("op2_mix_sources", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``; sources weigh 1, 2, 3, repeating, as integrals of fading schedules."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.by_position(mixing.plan(docs, mixing.FADE, most=3.0)).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_position")
