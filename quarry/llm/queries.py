@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bloom_lm, bpe_fst, crf_quality, line_dedup, mixing, resync_tokens, sigtree_join, substring_dedup
+from quarry.llm import bloom_lm, bpe_fst, crf_quality, line_dedup, mixing, multiprobe_lsh, resync_tokens, sigtree_join, substring_dedup
 from quarry.llm.vocabularies import BYTE_RANKS, PATTERN, PIECES
 from quarry.sources.tables import table
 
@@ -106,3 +106,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.by_position(mixing.plan(docs, mixing.FADE, most=3.0)).select(
         "doc_id", "size", "source_size", "target", "taken", "first_position")
+
+
+@query("op1_ann_multiprobe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``embeddings``; queries: vec_id divisible by 20, against all rows."""
+    return multiprobe_lsh.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
