@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bloom_lm, bpe_fst, crf_quality, line_dedup, mixing, multiprobe_lsh, resync_tokens, sigtree_join, substring_dedup
+from quarry.llm import bloom_lm, bpe_fst, crf_quality, license_scan, line_dedup, mixing, multiprobe_lsh, resync_tokens, sigtree_join, substring_dedup
 from quarry.llm.vocabularies import BYTE_RANKS, PATTERN, PIECES
 from quarry.sources.tables import table
 
@@ -112,3 +112,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``embeddings``; queries: vec_id divisible by 20, against all rows."""
     return multiprobe_lsh.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    found = license_scan.scan(docs.select("doc_id", F.col("text"))).drop("text")
+    return found.select("doc_id", "n_sentences", F.size("matches").cast("bigint").alias("n_matches"),
+                        F.concat_ws(",", "licenses").alias("licenses"), "matches")
