@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry.llm import bloom_lm, bpe_fst, crf_quality, license_scan, line_dedup, mixing, multiprobe_lsh, resync_tokens, sigtree_join, substring_dedup
 from quarry.llm.vocabularies import BYTE_RANKS, PATTERN, PIECES
 from quarry.sources.tables import table
@@ -14,6 +15,9 @@ from quarry.sources.tables import table
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
+QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = (fn, sql)

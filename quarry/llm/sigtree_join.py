@@ -275,8 +275,8 @@ def _tokens_of(n: int):
 
 # ---------------------------------------------------------------- the join
 
-def jaccard_components(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (columns doc_id, text)."""
+def _labelled(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """(doc_id, text_hash, sid, n_shingles, label): label is the same for all texts of a component."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sets = cut_lineage(texts.mapInArrow(_sets_of(words, p, q),
                                         "doc_id long, text_hash long, sid long, n_shingles long, size_class long"))
@@ -286,13 +286,37 @@ def jaccard_components(docs: DataFrame, words: int = 3, p: int = 90, q: int = 10
     groups = cut_lineage(connected_components(chains))
     links = connected_components(_verified(texts, sets, groups, words, p, q))
     links = cut_lineage(links.select(F.col("node").alias("sid"), "component"))
+    return sets.join(links, "sid", "left").withColumn("label", F.coalesce("component", "sid"))
 
-    named = sets.join(links, "sid", "left").withColumn("label", F.coalesce("component", "sid"))
+
+def jaccard_components(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (columns doc_id, text)."""
+    named = _labelled(docs, words, p, q)
     least = named.where("sid is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """The rows of ``docs`` without the copies: of each component the row with the least doc_id (null last), then
+    text hash, stays; of rows equal in both, any one.  Texts without words all stay."""
+    named = _labelled(docs, words, p, q).where("sid is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    stays = named.groupBy("label").agg(F.min(place).alias("stays"))
+    keys = cut_lineage(named.join(stays, "label").groupBy("doc_id", "text_hash").agg(
+        F.max(place.eqNullSafe(F.col("stays"))).alias("first"), F.count(F.lit(1)).alias("n"))
+        .select(F.col("doc_id").alias("_st_d"), F.col("text_hash").alias("_st_h"), "first", "n").where("not first or n > 1"))
+    n_keys, n_equal = keys.agg(F.count(F.lit(1)), F.count(F.when(F.col("first"), 1))).first()
+    marked = docs.withColumn("_st_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_st_d")) & (F.col("_st_hash") == F.col("_st_h"))
+    small = F.broadcast(keys) if n_keys * 32 <= BROADCAST_BYTES else keys      # beyond that, an ordinary join
+    out = marked.join(small, same, "left_anti").select(*docs.columns)
+    if n_equal:                     # whole rows that repeat: one of each
+        again = marked.join(keys.where("first"), same, "left_semi")
+        out = out.unionByName(again.dropDuplicates(["doc_id", "_st_hash"]).select(*docs.columns))
+    return out
+
+
 def _verified(texts: DataFrame, sets: DataFrame, groups: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """Verified links (a, b) between the sets of each candidate group."""
     one = sets.where("sid is not null").groupBy("sid").agg(      # of equal sets, the row with the least (doc_id, text)
