@@ -85,7 +85,7 @@ def targets(sources: DataFrame, most: float) -> DataFrame:
 def _position(start: Column) -> Column:
     """The time at which the source's demand has reached word ``start``."""
     whole = F.element_at("_mx_segments", -1)["before"]
-    x = start / F.col("target") * whole
+    x = F.when(F.col("target") > 0, start / F.col("target") * whole).otherwise(0.0)
     s = F.element_at(F.filter("_mx_segments", lambda s: s["before"] <= x), -1)
     y = x - s["before"]
     return s["time"] + F.when(y > 0, 2 * y / (s["weight"] + F.sqrt(s["weight"] * s["weight"] + 2 * s["slope"] * y))).otherwise(0.0)
