@@ -82,7 +82,6 @@ BREAKER_TIMEOUT_SECONDS = 60
 MODEL_RETRIES = 2
 MODEL_BACKOFF_SECONDS = 0.5
 
-ALLOWED_TAGS = ("p", "br", "div", "span", "strong", "b", "em", "i", "u", "a", "li", "ul", "ol")
 EMPTY_LINK_TEXT = "Link"
 KNOWN_HEADERS = ("subject", "from", "to", "cc", "date", "mime-version", "content-[a-z-]+",
                  "message-id")
@@ -116,6 +115,30 @@ ENTITIES = (
     ("&apos;", "'"),
     ("&middot;", "·"),
     ("&copy;", "©"),
+    ("&rsquo;", "\u2019"),
+    ("&lsquo;", "\u2018"),
+    ("&rdquo;", "\u201d"),
+    ("&ldquo;", "\u201c"),
+    ("&mdash;", "\u2014"),
+    ("&ndash;", "\u2013"),
+    ("&hellip;", "\u2026"),
+    ("&bull;", "\u2022"),
+    ("&euro;", "\u20ac"),
+    ("&pound;", "£"),
+    ("&reg;", "®"),
+    ("&trade;", "\u2122"),
+    ("&eacute;", "é"),
+    ("&egrave;", "è"),
+    ("&agrave;", "à"),
+    ("&ccedil;", "ç"),
+    ("&uuml;", "ü"),
+    ("&ouml;", "ö"),
+    ("&auml;", "ä"),
+    ("&ntilde;", "ñ"),
+    ("&#8217;", "\u2019"),
+    ("&#8211;", "\u2013"),
+    ("&#8212;", "\u2014"),
+    ("&#160;", " "),
     ("&amp;", "&"),
 )
 
@@ -123,7 +146,9 @@ COMMENT_RE = r"(?s)<!--.*?-->"
 SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
 STYLE_RE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 ANY_TAG_RE = r"<[a-zA-Z/!?][^>]*>"
-ANCHOR_RE = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>' + WS + r"*(.*?)" + WS + r"*</a\s*>"
+# groups: href in double quotes, in single quotes, bare; link text
+ANCHOR_RE = (r"""(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>""" + WS + r"*(.*?)" + WS
+             + r"*</a\s*>")
 EMPTY_ANCHOR_RE = r"\[" + WS + r"*\]\("
 
 # Key-detail kinds (Q6): dates, amounts, ids and references, e-mail addresses.
@@ -133,6 +158,9 @@ KEY_DETAIL_PATTERNS = (
     ("reference", r"(?:^|[^\p{L}\p{N}_])([A-Z]{2,}-\d+)(?:[^\p{L}\p{N}_]|\z)"),
     ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
 )
+# For Java: the same matches, but the boundaries are looked at and not consumed, so
+# that the next of two neighbouring references is found too.
+KEY_DETAIL_JAVA = {"reference": r"(?<![\p{L}\p{N}_])([A-Z]{2,}-\d+)(?![\p{L}\p{N}_])"}
 # A character every match of the kind contains (any one of them).
 KEY_DETAIL_REQUIRES = {"date": ("-", "/"), "amount": ("$", "\u20ac", "\u00a3"),
                        "reference": ("-",), "email": ("@",)}

@@ -73,7 +73,7 @@ def fallback_body(col, max_chars: int = K.FALLBACK_BODY_CHARS) -> Column:
     tags stripped, whitespace collapsed, first ``max_chars`` characters."""
     raw = _c(col)
     pos = F.locate("\n\n", raw)  # 1-based, 0 when absent
-    body = F.when(pos > 1, py_strip(F.substring(raw, pos + 2, K.MAX_TEXT_CHARS * 2))).otherwise(raw)
+    body = F.when(pos > 1, py_strip(raw.substr(pos + 2, F.length(raw)))).otherwise(raw)
     txt = F.regexp_replace(drop_invisible(body), K.ANY_TAG_RE, " ")
     txt = collapse_ws(decode_entities(txt))
     return F.left(txt, F.lit(max_chars))
@@ -89,7 +89,7 @@ def html_to_clean_text(col) -> Column:
     """
     src = _c(col)
     c = drop_invisible(src)
-    c = F.regexp_replace(c, K.ANCHOR_RE, "[$2]($1)")
+    c = F.regexp_replace(c, K.ANCHOR_RE, "[$4]($1$2$3)")
     c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
     c = F.regexp_replace(c, r"(?i)</?p\b[^>]*>", "\n\n")
     c = F.regexp_replace(c, r"(?i)</?div\b[^>]*>", "\n")
@@ -106,10 +106,15 @@ def html_to_clean_text(col) -> Column:
 
 
 def link_edges(col):
-    """T4 edge table parts: arrays of hrefs and link texts (same order)."""
+    """T4 edge table parts: arrays of hrefs (entities decoded) and link texts (inner
+    tags removed, entities decoded), same order; href in double, single or no quotes."""
     html = drop_invisible(_c(col))
-    hrefs = F.regexp_extract_all(html, F.lit(K.ANCHOR_RE), F.lit(1))
-    texts = F.regexp_extract_all(html, F.lit(K.ANCHOR_RE), F.lit(2))
+
+    def group(i):
+        return F.regexp_extract_all(html, F.lit(K.ANCHOR_RE), F.lit(i))
+    quoted = F.zip_with(group(1), group(2), lambda a, b: F.concat(a, b))
+    hrefs = F.zip_with(quoted, group(3), lambda a, b: decode_entities(F.concat(a, b)))
+    texts = F.transform(group(4), lambda t: py_strip(decode_entities(F.regexp_replace(t, K.ANY_TAG_RE, ""))))
     return hrefs, texts
 
 
@@ -165,6 +170,7 @@ def key_details(col):
         for ch in need:
             t = F.instr(c, ch) > 0
             has = t if has is None else (has | t)
-        out[kind] = F.when(has, F.array_distinct(F.regexp_extract_all(c, F.lit(rx), F.lit(1)))) \
+        found = F.regexp_extract_all(c, F.lit(K.KEY_DETAIL_JAVA.get(kind, rx)), F.lit(1))
+        out[kind] = F.when(has, F.array_distinct(found)) \
             .otherwise(F.array().cast("array<string>"))
     return out

@@ -12,10 +12,10 @@ from quarry.operators.store import latest_per_key
 
 
 def cache_key(prompt_col, model: str = K.DEFAULT_MODEL, namespace: str = K.CACHE_NAMESPACE,
-              system: str = K.SYSTEM_PROMPT, key_chars: int | None = K.CACHE_KEY_CHARS) -> Column:
+              system: str = K.SYSTEM_PROMPT, key_chars: int | None = None) -> Column:
     """sha256 hex of the sorted-key JSON of (model, ns, system, user), in the
-    layout of ``json.dumps(..., ensure_ascii=False, sort_keys=True)``; user is
-    the first ``key_chars`` characters of the untrimmed prompt (None = all)."""
+    layout of ``json.dumps(..., ensure_ascii=False, sort_keys=True)``; user is the
+    whole untrimmed prompt, or its first ``key_chars`` characters if the caller says so."""
     p = tx._c(prompt_col)
     user = F.left(p, F.lit(key_chars)) if key_chars else p
     doc = F.concat(F.lit('{"model": '), tx.json_string(F.lit(model)),
@@ -31,22 +31,14 @@ def put(entries: DataFrame, key: str = "key", ts: str = "ts", seq: str | None =
     return latest_per_key(entries, key, order)
 
 
-TAKE_ORDERED_MAX = 100_000
-
-
 def retain(cache: DataFrame, max_entries: int = K.CACHE_MAX_ENTRIES, ts: str = "ts",
            key: str = "key") -> DataFrame:
     """C3 retention: keep the ``max_entries`` newest entries (<= 0: unbounded).
 
-    Up to ``TAKE_ORDERED_MAX`` entries, ``orderBy(...).limit(n)`` plans as
-    TakeOrderedAndProject: each task keeps its own top n, so only
-    ``n x tasks`` rows reach the final merge.  Larger caps use a distributed
-    rank (range buckets + offsets) and a filter, so no single task holds them.
-    """
+    A distributed rank (range buckets and their offsets) and a filter, whatever the
+    cap: no task gathers the entries that stay."""
     if max_entries <= 0:
         return cache
-    if max_entries <= TAKE_ORDERED_MAX:
-        return cache.orderBy(F.desc(ts), F.asc(key)).limit(max_entries)
     from quarry.operators.ordering import global_rank
     from quarry.operators.reqlog import epoch_micros
     neg = cache.withColumn("_neg_ts", -epoch_micros(F.col(ts), cache.schema[ts].dataType))

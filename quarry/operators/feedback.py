@@ -89,12 +89,11 @@ def _phrase(issue: Column) -> Column:
     return out
 
 
-def consolidate(feedback: DataFrame, threshold: int = 5, max_rules: int = 20) -> DataFrame:
-    """one-row ``instructions`` table: issues reported at least
-    ``threshold`` times, most reported first (ties by name), at most
-    ``max_rules`` lines (the prompt prefix must stay bounded)."""
+def consolidate(feedback: DataFrame, threshold: int = 5, max_rules: int | None = None) -> DataFrame:
+    """one-row ``instructions`` table: all issues reported at least ``threshold``
+    times, most reported first (ties by name); ``max_rules`` is a caller's choice."""
     counts = issue_counts(feedback).filter(F.col("n") >= threshold)
-    top = counts.orderBy(F.desc("n"), F.asc("issue")).limit(max_rules)
+    top = counts if max_rules is None else counts.orderBy(F.desc("n"), F.asc("issue")).limit(max_rules)
     line = F.concat(F.lit("- "), _phrase(F.col("issue")), F.lit(" ("),
                     F.col("n").cast("string"), F.lit(" reports)"))
     rows = top.select(F.struct((-F.col("n")).alias("k"), F.col("issue"), line.alias("line"))

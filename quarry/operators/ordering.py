@@ -13,10 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def global_rank(df: DataFrame, order: str, tie: str | None = None, n_buckets: int = 64,
+BUCKET_ROWS = 500_000
+
+
+def global_rank(df: DataFrame, order: str, tie: str | None = None, n_buckets: int | None = None,
                 rel_error: float = 0.001, out: str = "rank") -> DataFrame:
     """Add ``out`` = position in ascending ``(order, tie)`` (ties must be broken
-    by ``tie`` for a deterministic result)."""
+    by ``tie`` for a deterministic result).  The number of buckets follows the rows."""
+    if n_buckets is None:
+        n_buckets = min(4096, max(64, -(-df.count() // BUCKET_ROWS)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = sorted(set(b for b in df.approxQuantile(order, probs, rel_error) if b is not None))
     # bucket = number of boundaries strictly below the value (rows equal to a
@@ -126,6 +131,8 @@ def chain_members(edges: DataFrame, roots: DataFrame, node: str = "node", nxt: s
         if up.isEmpty():
             break
         levels.append(up)
+    else:
+        raise RuntimeError(f"chains are longer than 2**{max_levels}")
     # widening: every step reads the previous member set twice (union and
     # join), so each is materialised; otherwise the plan would double per level
     members = roots.select(F.col(node).alias("_n"))

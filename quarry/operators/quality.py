@@ -68,7 +68,7 @@ def _tokens(col) -> Column:
 
 def passage_matches(passages: DataFrame, docs: DataFrame, pid: str = "item_id",
                     did: str = "doc_id", ptext: str = "text", dtext: str = "text",
-                    max_short: int = 10000) -> DataFrame:
+                    block_rows: int = 1000) -> DataFrame:
     """Q4 (passages): every (passage, document) where the passage occurs verbatim.
 
     Exact without comparing all pairs: if passage ``w1 .. wn`` (whitespace
@@ -79,8 +79,8 @@ def passage_matches(passages: DataFrame, docs: DataFrame, pid: str = "item_id",
     vocabulary and counted with a partial aggregate), candidates are the
     documents holding that token, and each candidate is verified with
     ``instr``.  Passages of one or two tokens have no interior token: they are
-    matched by a broadcast nested-loop join, only when their number is within
-    ``max_short`` (checked first).
+    compared with every document in blocks of about ``block_rows`` passages, an
+    equi-join on the block's number (one block: one small row beside the texts).
     """
     p = passages.select(F.col(pid).alias("_pid"), F.col(ptext).alias("_ptext")) \
         .withColumn("_pt", _tokens(F.col("_ptext")))
@@ -101,12 +101,13 @@ def passage_matches(passages: DataFrame, docs: DataFrame, pid: str = "item_id",
     short = p.filter(F.col("_interior").isNull() & (F.col("_ptext") != F.lit("")))
     n_short = short.count()
     if n_short:
-        if n_short > max_short:
-            raise ValueError(f"{n_short} passages of one or two tokens exceed max_short="
-                             f"{max_short}; they cannot be indexed by interior tokens")
-        nl = d.join(F.broadcast(short.select("_pid", "_ptext")),
-                    F.instr(F.col("_dtext"), F.col("_ptext")) > 0).select("_pid", "_did")
-        verified = verified.unionByName(nl)
+        n_blocks = -(-n_short // block_rows)
+        blocks = short.groupBy(F.pmod(F.xxhash64("_pid", "_ptext"), F.lit(n_blocks)).alias("_blk")).agg(
+            F.collect_list(F.struct("_pid", "_ptext")).alias("_ps"))
+        asked = d.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+        hits = asked.join(blocks, "_blk").select("_did", F.explode(F.filter(
+            "_ps", lambda p: F.instr(F.col("_dtext"), p["_ptext"]) > 0)).alias("_p"))
+        verified = verified.unionByName(hits.select(F.col("_p._pid").alias("_pid"), "_did"))
     return verified.select(F.col("_pid").alias(pid), F.col("_did").alias(did))
 
 

@@ -8,7 +8,9 @@ same batch rewrite the same version: idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.ingest import accepted, validate
@@ -52,13 +54,10 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, version: str,
     replace an older non-null one (off by default, as in the reference).
     """
     both = base.unionByName(updates, allowMissingColumns=True)
-    if keep_last_good:
-        both = both.filter(F.col(keep_last_good).isNotNull())
-    return latest_per_key(both, key, version)
-
-
-def stamp(df: DataFrame, now: Column | None = None) -> DataFrame:
-    return df.withColumn("updated_at", now if now is not None else F.current_timestamp())
+    if not keep_last_good:
+        return latest_per_key(both, key, version)
+    good = both.withColumn("_good", F.col(keep_last_good).isNotNull())     # a key without any good row keeps its newest
+    return latest_per_key(good, key, ["_good", version]).drop("_good")
 
 
 class VersionedTable:
@@ -68,7 +67,9 @@ class VersionedTable:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
     def versions(self) -> list[int]:
-        return sorted(int(d[2:]) for d in list_dirs(self.spark, self.path) if d.startswith("v="))
+        """Versions whose write was committed."""
+        return sorted(int(d[2:]) for d in list_dirs(self.spark, self.path)
+                      if d.startswith("v=") and path_exists(self.spark, f"{self.path}/{d}/_SUCCESS"))
 
     def read(self, before: int | None = None) -> DataFrame | None:
         vs = [v for v in self.versions() if before is None or v < before]
@@ -97,28 +98,31 @@ class VersionedTable:
 
 class InsertOnlyTable:
     """A keyed table that only ever gains rows (S4): one delta directory per
-    write, ``<path>/part=<n>``.  An insert reads only the *keys* of the earlier
-    deltas (column pruning), anti-joins, and writes its new rows as delta n;
-    re-running write n overwrites delta n only, so a replayed micro-batch is
-    idempotent and no write ever rewrites the table."""
+    write, ``<path>/part=<run>-<n>``.  An insert reads only the *keys* of the other
+    committed deltas (column pruning), anti-joins, and writes its new rows as its own
+    delta.  A stream's run is its query id (kept in its checkpoint), so a replayed
+    micro-batch overwrites its own delta only; without a number each call is a run of
+    its own, so no write ever touches another one's rows."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
-    def parts(self) -> list[int]:
-        return sorted(int(d[5:]) for d in list_dirs(self.spark, self.path)
-                      if d.startswith("part="))
+    def parts(self) -> list[str]:
+        return sorted(d[5:] for d in list_dirs(self.spark, self.path)
+                      if d.startswith("part=") and path_exists(self.spark, f"{self.path}/{d}/_SUCCESS"))
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        ps = [p for p in self.parts() if before is None or p < before]
+    def read(self, but: str | None = None) -> DataFrame | None:
+        ps = [p for p in self.parts() if p != but]
         if not ps:
             return None
         return self.spark.read.parquet(*[f"{self.path}/part={p}" for p in ps])
 
-    def insert_if_absent(self, incoming: DataFrame, part: int,
+    def insert_if_absent(self, incoming: DataFrame, part: int | None = None,
                          valid: str | None = None) -> tuple[str, DataFrame]:
         from quarry.operators.ingest import first_per_key, insert_if_absent
-        prior = self.read(before=part)
+        run = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        part = uuid.uuid4().hex if part is None else f"{run or 'batch'}-{part}"
+        prior = self.read(but=part)
         new = first_per_key(incoming, self.key, valid=valid) if prior is None else \
             insert_if_absent(incoming, prior.select(self.key), self.key, valid=valid)
         out = f"{self.path}/part={part}"
@@ -147,5 +151,5 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["scan", "latest_per_key", "upsert", "stamp", "VersionedTable", "InsertOnlyTable", "append",
+__all__ = ["scan", "latest_per_key", "upsert", "VersionedTable", "InsertOnlyTable", "append",
            "read_or_empty", "table_counts"]

@@ -100,7 +100,7 @@ def _pick(values, idx_col):
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.trim(F.regexp_replace(F.left(F.col("text"), F.lit(120)), r"[^\p{L} ]", ""))
+    words = F.trim(F.regexp_replace(F.col("text"), r"[^\p{L} ]", ""))
     obj = F.concat(
         F.lit('{"category": "'), _pick(REPLY_CATEGORIES, F.col("doc_id")),
         F.lit('", "subject": "Doc '), F.col("doc_id").cast("string"),
@@ -135,7 +135,7 @@ REPLIES_SQL = f"""replies AS (
         || '", "detailedSummary": "' || words || ' ' || words
         || '", "priority": "' || {_sql_pick(REPLY_PRIORITIES, 'doc_id')} || '"}}' AS obj
     FROM (SELECT doc_id, text,
-            trim(regexp_replace(left(text, 120), '[^\\p{{L}} ]', '', 'g')) AS words
+            trim(regexp_replace(text, '[^\\p{{L}} ]', '', 'g')) AS words
           FROM documents)
   ) q,
   LATERAL (SELECT CASE WHEN doc_id % 4 = 0 THEN '```json' || chr(10) || obj || chr(10) || '```'
@@ -197,21 +197,22 @@ FEEDBACK_SQL = f"""feedback AS (
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    """Every eleventh session is missing, so that feedback has orphans."""
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 11 != 3)
     return d.select(F.col("doc_id").cast("string").alias("session_id"),
                     F.col("source").alias("email_type"),
-                    F.left(F.col("text"), F.lit(200)).alias("original_summary"))
+                    F.col("text").alias("original_summary"))
 
 
 SESSIONS_SQL = """sessions AS (
   SELECT CAST(doc_id AS VARCHAR) AS session_id, source AS email_type,
-         left(text, 200) AS original_summary
-  FROM documents)"""
+         text AS original_summary
+  FROM documents WHERE doc_id % 11 <> 3)"""
 
 
 # --- key details (Q6) ---------------------------------------------------------
 
-KEY_DETAIL_SUFFIX = " Ref AB-12 due 2024-05-01 $1,200.50 contact ops@example.com"
+KEY_DETAIL_SUFFIX = " Ref AB-12 CD-34 EF-56 due 2024-05-01 $1,200.50 contact ops@example.com"
 
 
 def key_detail_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +236,7 @@ CACHE_NOW = "2024-01-31 00:00:00"
 
 def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.filter(F.col("event_type") != F.lit("click")).select(
+    return e.select(
         F.col("user_id").cast("string").alias("key"),
         F.col("ts").alias("ts"),
         F.when(F.col("event_type") == F.lit("error"), F.lit("{}")).otherwise(F.col("props"))
@@ -246,7 +247,7 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 CACHE_SQL = """cache_entries AS (
   SELECT CAST(user_id AS VARCHAR) AS key, ts,
          CASE WHEN event_type = 'error' THEN '{}' ELSE props END AS value, event_id AS seq
-  FROM events WHERE event_type <> 'click')"""
+  FROM events)"""
 
 
 def cache_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,19 +19,29 @@ def _j(x: str) -> str:
     return f"CAST(to_json({x}) AS VARCHAR)"
 
 
-_KEY_DOC = (f"'{{\"model\": ' || {_j(sb.q(K.DEFAULT_MODEL))} || ', \"ns\": ' || {_j(sb.q(K.CACHE_NAMESPACE))}"
-            f" || ', \"system\": ' || {_j(sb.q(K.SYSTEM_PROMPT))} || ', \"user\": ' || {_j('left(prompt, 2000)')}"
+def _key_doc(user: str) -> str:
+    return (f"'{{\"model\": ' || {_j(sb.q(K.DEFAULT_MODEL))} || ', \"ns\": ' || {_j(sb.q(K.CACHE_NAMESPACE))}"
+            f" || ', \"system\": ' || {_j(sb.q(K.SYSTEM_PROMPT))} || ', \"user\": ' || {_j(user)}"
             f" || '}}'")
 
 
 @register("c1_cache_key", "WITH " + fx.SUBJECTS_SQL + f""",
 p AS (SELECT doc_id, {sb.build_prompt('subject', 'text')} AS prompt FROM subj)
-SELECT doc_id, sha256({_KEY_DOC}) AS cache_key FROM p""")
+SELECT doc_id, sha256({_key_doc('prompt')}) AS cache_key FROM p""")
 def c1_cache_key(spark, sf):
     s = fx.subjects(spark, sf).select("doc_id", tx.build_prompt("subject", "text").alias("prompt"))
     return s.select("doc_id", ch.cache_key("prompt").alias("cache_key"))
 
 
+@register("c1_cache_key_prefix", "WITH " + fx.SUBJECTS_SQL + f""",
+p AS (SELECT doc_id, {sb.build_prompt('subject', 'text')} AS prompt FROM subj)
+SELECT doc_id, sha256({_key_doc(f'left(prompt, {K.CACHE_KEY_CHARS})')}) AS cache_key FROM p""")
+def c1_cache_key_prefix(spark, sf):
+    """The service's own short key, as a caller's choice."""
+    s = fx.subjects(spark, sf).select("doc_id", tx.build_prompt("subject", "text").alias("prompt"))
+    return s.select("doc_id", ch.cache_key("prompt", key_chars=K.CACHE_KEY_CHARS).alias("cache_key"))
+
+
 _NEWEST_SQL = "WITH " + fx.CACHE_SQL + """,
 newest AS (SELECT key, ts, value FROM (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn

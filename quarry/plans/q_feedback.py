@@ -48,7 +48,7 @@ issues AS (
   UNION ALL SELECT 'wrong_type', count(*) FILTER (WHERE wrong_type) FROM feedback
   UNION ALL SELECT 'missing:' || item, count(*) FROM (SELECT unnest(missing_items) AS item FROM feedback)
             WHERE item IS NOT NULL AND item <> '' GROUP BY item),
-top AS (SELECT * FROM issues WHERE n >= 5 ORDER BY n DESC, issue LIMIT 20),
+top AS (SELECT * FROM issues WHERE n >= 5),
 rules AS (SELECT CASE WHEN count(*) > 0 THEN 'Learned rules from user feedback:' || chr(10) ||
                    string_agg('- ' || """ + _PHRASE_SQL + """ || ' (' || CAST(n AS VARCHAR) || ' reports)',
                               chr(10) ORDER BY n DESC, issue) ELSE '' END AS instructions

@@ -114,8 +114,10 @@ def q5_domain_check(spark, sf):
 
 # -------------------------------------------------------------------- Q6
 
-_Q6_PARTS = [f"SELECT doc_id, {sb.q(kind)} AS kind, unnest(regexp_extract_all(text, {sb.q(rx)}, 1)) AS value FROM kd"
-             for kind, rx in K.KEY_DETAIL_PATTERNS]
+# RE2 has no look-around: separators other than "-" are doubled, so that neighbouring references have one each
+_Q6_PARTS = [f"SELECT doc_id, {sb.q(kind)} AS kind, unnest(regexp_extract_all("
+             + (r"regexp_replace(text, '([^\p{L}\p{N}_-])', '\1\1', 'g')" if kind == "reference" else "text")
+             + f", {sb.q(rx)}, 1)) AS value FROM kd" for kind, rx in K.KEY_DETAIL_PATTERNS]
 
 
 @register("q6_key_details", "WITH " + fx.KEY_DETAIL_SQL + """

@@ -64,11 +64,13 @@ _ANCHOR = sb.q(tx.K.ANCHOR_RE)
 
 @register("t4_link_edges", f"""
 WITH h AS (SELECT page_id, {sb.drop_invisible('html')} AS html FROM pages),
-l AS (SELECT page_id, regexp_extract_all(html, {_ANCHOR}, 1) AS hrefs,
-             regexp_extract_all(html, {_ANCHOR}, 2) AS texts FROM h)
-SELECT page_id, CAST(pos AS INTEGER) AS pos, hrefs[pos] AS href,
-       CASE WHEN {sb.strip('texts[pos]')} = '' THEN 'Link' ELSE texts[pos] END AS link_text
-FROM (SELECT page_id, hrefs, texts, generate_subscripts(hrefs, 1) AS pos FROM l)""")
+l AS (SELECT page_id, regexp_extract_all(html, {_ANCHOR}, 1) AS h1, regexp_extract_all(html, {_ANCHOR}, 2) AS h2,
+             regexp_extract_all(html, {_ANCHOR}, 3) AS h3, regexp_extract_all(html, {_ANCHOR}, 4) AS texts FROM h),
+e AS (SELECT page_id, pos, coalesce(h1[pos], '') || coalesce(h2[pos], '') || coalesce(h3[pos], '') AS raw_href,
+             {sb.rx('texts[pos]', tx.K.ANY_TAG_RE, '')} AS raw_text
+      FROM (SELECT *, generate_subscripts(texts, 1) AS pos FROM l)),
+t AS (SELECT page_id, pos, {sb.decode_entities('raw_href')} AS href, {sb.strip(sb.decode_entities('raw_text'))} AS txt FROM e)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, href, CASE WHEN txt = '' THEN 'Link' ELSE txt END AS link_text FROM t""")
 def t4_link_edges(spark, sf):
     p = table(spark, sf, "pages")
     hrefs, texts = tx.link_edges("html")

@@ -60,7 +60,7 @@ def normalise_lines(x: str) -> str:
 
 def html_to_clean_text(x: str) -> str:
     c = drop_invisible(x)
-    c = rx(c, K.ANCHOR_RE, r"[\2](\1)")
+    c = rx(c, K.ANCHOR_RE, r"[\4](\1\2\3)")
     c = rx(c, r"(?i)<br\s*/?>", "\n")
     c = rx(c, r"(?i)</?p\b[^>]*>", "\n\n")
     c = rx(c, r"(?i)</?div\b[^>]*>", "\n")

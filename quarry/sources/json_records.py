@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.text import py_strip
+
 RECORD_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("text", T.StringType()),
@@ -31,7 +33,7 @@ RECORD_SCHEMA = T.StructType([
 def parse_record_files(files: DataFrame, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
     """``files(path, value)`` -> records plus ``_file``, ``_pos`` and ``_reason``
     (null for a good record, ``unreadable_file`` for a file that is not JSON)."""
-    body = F.trim(F.col("value"))
+    body = F.regexp_replace(py_strip(F.regexp_replace("value", "\\A\ufeff", "")), "\\A\ufeff", "")
     wrapped = F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
     arr = F.from_json(wrapped, T.ArrayType(T.StringType()))
     parsed = files.select(F.col("path").alias("_file"), arr.alias("_arr"))
@@ -59,15 +61,15 @@ def read_record_lines(spark: SparkSession, path: str,
 
 
 def write_record_files(df: DataFrame, path: str, n_files: int, order: str = "seq",
-                       junk_elements: bool = True, rows_per_file: int = 20000) -> None:
+                       junk_elements: bool = True, file_bytes: int = 8 << 20) -> None:
     """Write records as JSON *array* files (at least ``n_files``, and enough that
-    none holds more than about ``rows_per_file`` rows; rows ordered by
+    none holds more than about ``file_bytes``; rows ordered by
     ``order`` inside a file).  A file is built by one task, so its size is
     bounded rather than growing with the data."""
     import math
-    n_rows = df.count()
-    n_files = max(n_files, math.ceil(n_rows / max(1, rows_per_file)))
     j = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    n_bytes = df.agg(F.sum(F.octet_length(j).cast("bigint"))).first()[0] or 0
+    n_files = max(n_files, math.ceil(n_bytes / file_bytes))
     bucket = F.pmod(F.xxhash64(F.col(order)), F.lit(n_files))
     per_file = df.select(bucket.alias("_b"), F.col(order).alias("_o"), j.alias("_j")) \
         .groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_o", "_j"))).alias("_rows"))

@@ -52,8 +52,8 @@ def _part_text(p: Column) -> Column:
 def _part_leaf(s: Column) -> Column:
     p, pos, has = s["p"], s["pos"], s["has"]
     hdr = F.when(has, F.when(pos > 0, p.substr(F.lit(1), pos - 1)).otherwise(p)).otherwise(F.lit(""))
-    body = F.when(has, F.when(pos > 0, p.substr(pos + 2, F.lit(1 << 30))).otherwise(F.lit(""))) \
-        .when(p.startswith("\n"), p.substr(F.lit(2), F.lit(1 << 30))).otherwise(p)
+    body = F.when(has, F.when(pos > 0, p.substr(pos + 2, F.length(p))).otherwise(F.lit(""))) \
+        .when(p.startswith("\n"), p.substr(F.lit(2), F.length(p))).otherwise(p)
     ctype = F.lower(F.regexp_extract(hdr, CTYPE_RE, 1))
     return _leaf(F.when(ctype == F.lit(""), F.lit("text/plain")).otherwise(ctype), body)
 
@@ -73,7 +73,7 @@ def extract_text(df: DataFrame, raw_col: str = "raw", out_col: str = "extracted"
     x = x.withColumn("_hdr", F.when(c("_has"), F.when(c("_pos") > 0, c("_raw").substr(
         F.lit(1), c("_pos") - 1)).otherwise(c("_raw"))).otherwise(F.lit(""))) \
          .withColumn("_body", F.when(c("_has"), F.when(c("_pos") > 0, c("_raw").substr(
-             c("_pos") + 2, F.lit(1 << 30))).otherwise(F.lit(""))).otherwise(c("_raw")))
+             c("_pos") + 2, F.length(c("_raw")))).otherwise(F.lit(""))).otherwise(c("_raw")))
     ct = F.lower(F.regexp_extract(c("_hdr"), CTYPE_RE, 1))
     x = x.withColumn("_ctype", F.when(ct == F.lit(""), F.lit("text/plain")).otherwise(ct)) \
          .withColumn("_boundary", F.regexp_extract(c("_hdr"), BOUNDARY_RE, 1))
@@ -84,7 +84,7 @@ def extract_text(df: DataFrame, raw_col: str = "raw", out_col: str = "extracted"
         | (c("_multi") & (F.regexp_like(c("_body"), F.lit(ENCODED_RE))
                           | F.regexp_like(c("_body"), F.lit(NESTED_RE))))))
     chunks = F.split(c("_body"), F.concat(F.lit(r"\Q--"), c("_boundary"), F.lit(r"\E")))
-    inner = F.filter(F.slice(chunks, 2, 1 << 20), lambda p: ~p.startswith("--"))
+    inner = F.filter(F.slice(chunks, F.lit(2), F.size(chunks)), lambda p: ~p.startswith("--"))
     x = x.withColumn("_parts", F.when(c("_multi") & ~c("_route"), F.transform(inner, _part_text)))
     multi = F.array_join(F.filter(F.transform(c("_parts"), _part_leaf),
                                   lambda t: tx.py_strip(t) != F.lit("")), "\n\n")

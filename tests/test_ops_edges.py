@@ -66,7 +66,9 @@ def test_insert_if_absent_rerun_inserts_nothing(spark):
     _, new2 = tbl.insert_if_absent(inc, 1)
     assert new2.count() == 0 and tbl.read().count() == 2
     _, again = tbl.insert_if_absent(inc, 1)  # replayed write: same delta, same table
-    assert again.count() == 0 and tbl.read().count() == 2 and tbl.parts() == [0, 1]
+    assert again.count() == 0 and tbl.read().count() == 2 and tbl.parts() == ["batch-0", "batch-1"]
+    tbl.insert_if_absent(spark.createDataFrame([("c", 9)], "id string, seq long"))  # a call of its own run
+    assert sorted(r.id for r in tbl.read().collect()) == ["a", "b", "c"] and len(tbl.parts()) == 3
 
 
 def test_upsert_null_overwrites_and_replay(spark):
@@ -100,11 +102,12 @@ def test_cache_ttl_boundaries(spark):
 def test_cache_key_matches_python_json(spark):
     import hashlib
     prompt = "café \"quoted\" \\ line\nnext\t" + "x" * 2500
-    doc = json.dumps({"ns": K.CACHE_NAMESPACE, "model": K.DEFAULT_MODEL, "system": K.SYSTEM_PROMPT,
-                      "user": prompt[:2000]}, ensure_ascii=False, sort_keys=True)
-    want = hashlib.sha256(doc.encode()).hexdigest()
-    got = spark.createDataFrame([(prompt,)], "p string").select(ch.cache_key("p")).first()[0]
-    assert got == want
+    for chars in (None, K.CACHE_KEY_CHARS):
+        doc = json.dumps({"ns": K.CACHE_NAMESPACE, "model": K.DEFAULT_MODEL, "system": K.SYSTEM_PROMPT,
+                          "user": prompt[:chars]}, ensure_ascii=False, sort_keys=True)
+        want = hashlib.sha256(doc.encode()).hexdigest()
+        got = spark.createDataFrame([(prompt,)], "p string").select(ch.cache_key("p", key_chars=chars)).first()[0]
+        assert got == want
 
 
 def test_retention_keeps_newest(spark):
@@ -113,8 +116,7 @@ def test_retention_keeps_newest(spark):
     assert ch.retain(df, 0).count() == 10
 
 
-def test_retention_large_cap_distributed(spark, monkeypatch):
-    monkeypatch.setattr(ch, "TAKE_ORDERED_MAX", 2)
+def test_retention_large_cap_distributed(spark):
     rows = [(f"k{i:03d}", f"2024-01-01 00:00:{i % 50:02d}") for i in range(200)]
     df = spark.createDataFrame(rows, "key string, ts string").withColumn(
         "ts", F.col("ts").cast("timestamp_ntz"))
