@@ -83,8 +83,6 @@ MODEL_RETRIES = 2
 MODEL_BACKOFF_SECONDS = 0.5
 
 EMPTY_LINK_TEXT = "Link"
-KNOWN_HEADERS = ("subject", "from", "to", "cc", "date", "mime-version", "content-[a-z-]+",
-                 "message-id")
 
 # ---------------------------------------------------------------------------
 # Our own definitions (not from the reference): regular expressions shared by
@@ -102,6 +100,10 @@ WS = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 WS_RUN = WS + "+"
 STRIP_RE = r"\A" + WS + "+|" + WS + r"+\z"
 
+# Names that tell a header block from text.
+KNOWN_HEADERS = ("subject", "from", "to", "cc", "date", "mime-version", "content-[a-z-]+",
+                 "message-id")
+
 SENTENCE_RE = r"([^.!?]+[.!?]?)"
 TOKEN_RE = r"(\p{L}+)"
 

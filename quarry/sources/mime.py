@@ -7,8 +7,10 @@ or nested multiparts go to an Arrow-batched pandas UDF with the standard ``email
 the other rows pass it a null, so only those rows pay the Python cost.
 
 Decisions (see README):
-* a header block counts only if the first line starts with a known header
-  name; otherwise the whole text is ``text/plain``;
+* line ends are made ``\\n`` first; the lines before the first blank line are a
+  header block if all are ``name: value`` or continuations and one of them has a
+  known name; otherwise the whole text is ``text/plain``;
+* a boundary counts only as a line of its own;
 * non-ASCII characters are kept (the intent of the reference, not its bug);
 * separators are real newlines;
 * an empty result falls back to T2 (body after the first blank line, tags
@@ -28,7 +30,9 @@ from pyspark.sql import types as T
 from quarry.functions import constants as K
 from quarry.functions import text as tx
 
-HEADER_START_RE = r"(?i)\A(?:" + "|".join(K.KNOWN_HEADERS) + r")[ \t]*:"
+HEADER_LINE_RE = r"\A[!-9;-~]+[ \t]*:"
+HEADER_OR_MORE_RE = r"\A(?:[ \t]|[!-9;-~]+[ \t]*:)"
+KNOWN_HEADER_RE = r"(?i)\A(?:" + "|".join(K.KNOWN_HEADERS) + r")[ \t]*:"
 CTYPE_RE = r"(?im)^content-type:[ \t]*([^;\s]+)"
 BOUNDARY_RE = r'(?i)boundary[ \t]*=[ \t]*"?([^";\s]+)"?'
 ENCODED_RE = r"(?im)^content-transfer-encoding:[ \t]*(?:base64|quoted-printable)"
@@ -43,7 +47,7 @@ def _leaf(ctype: Column, body: Column) -> Column:
 
 def _part_text(p: Column) -> Column:
     """One MIME part: any header block (lines before the first blank line)."""
-    p = F.regexp_replace(F.regexp_replace(p, r"\A\r?\n", ""), r"\r?\n\z", "")
+    p = F.regexp_replace(p, r"\n\z", "")
     return F.struct(p.alias("p"), F.locate("\n\n", p).alias("pos"),
                     (~p.startswith("\n") & F.regexp_like(p, F.lit(r"\A[^\s:]+[ \t]*:")))
                     .alias("has"))
@@ -67,9 +71,14 @@ def extract_text(df: DataFrame, raw_col: str = "raw", out_col: str = "extracted"
     """
     cols = df.columns
     c = F.col
-    x = df.withColumn("_raw", F.coalesce(c(raw_col), F.lit("")))
-    x = x.withColumn("_has", F.regexp_like(c("_raw"), F.lit(HEADER_START_RE))) \
-         .withColumn("_pos", F.locate("\n\n", c("_raw")))
+    x = df.withColumn("_raw", F.regexp_replace(F.coalesce(c(raw_col), F.lit("")), "\r\n?", "\n"))
+    x = x.withColumn("_pos", F.locate("\n\n", c("_raw")))
+    # the header block ends at the first blank line; texts that do not begin like one are not cut into lines
+    block = F.when(F.regexp_like(c("_raw"), F.lit(HEADER_LINE_RE)), F.split(
+        F.when(c("_pos") > 0, c("_raw").substr(F.lit(1), c("_pos") - 1)).otherwise(F.regexp_replace(c("_raw"), r"\n\z", "")), "\n"))
+    x = x.withColumn("_block", block).withColumn("_has", F.coalesce(
+        F.forall("_block", lambda v: F.regexp_like(v, F.lit(HEADER_OR_MORE_RE)))
+        & F.exists("_block", lambda v: F.regexp_like(v, F.lit(KNOWN_HEADER_RE))), F.lit(False)))
     x = x.withColumn("_hdr", F.when(c("_has"), F.when(c("_pos") > 0, c("_raw").substr(
         F.lit(1), c("_pos") - 1)).otherwise(c("_raw"))).otherwise(F.lit(""))) \
          .withColumn("_body", F.when(c("_has"), F.when(c("_pos") > 0, c("_raw").substr(
@@ -83,8 +92,11 @@ def extract_text(df: DataFrame, raw_col: str = "raw", out_col: str = "extracted"
         F.regexp_like(c("_hdr"), F.lit(ENCODED_RE))
         | (c("_multi") & (F.regexp_like(c("_body"), F.lit(ENCODED_RE))
                           | F.regexp_like(c("_body"), F.lit(NESTED_RE))))))
-    chunks = F.split(c("_body"), F.concat(F.lit(r"\Q--"), c("_boundary"), F.lit(r"\E")))
-    inner = F.filter(F.slice(chunks, F.lit(2), F.size(chunks)), lambda p: ~p.startswith("--"))
+    # a boundary is a line of its own; what follows the closing one is no part
+    mark = F.concat(F.lit(r"(?m)^\Q--"), c("_boundary"), F.lit(r"\E"))
+    opened = F.get(F.split(c("_body"), F.concat(mark, F.lit(r"--[ \t]*$"))), 0)
+    chunks = F.split(opened, F.concat(mark, F.lit(r"[ \t]*(?:\n|\z)")))
+    inner = F.slice(chunks, F.lit(2), F.size(chunks))
     x = x.withColumn("_parts", F.when(c("_multi") & ~c("_route"), F.transform(inner, _part_text)))
     multi = F.array_join(F.filter(F.transform(c("_parts"), _part_leaf),
                                   lambda t: tx.py_strip(t) != F.lit("")), "\n\n")
