@@ -121,6 +121,15 @@ def s7_validate(spark, sf):
         .agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("s7_quarantine", KEYED_SQL + """
+SELECT seq, id, reason, text FROM checked WHERE reason IS NOT NULL""")
+def s7_quarantine(spark, sf):
+    """The rejected rows, written as a table of their own and read back."""
+    path = shared_path(spark, "quarantine")
+    st.append(ig.quarantined(keyed(spark, sf)).select("seq", "id", "reason", "text"), path)
+    return spark.read.parquet(path)
+
+
 @register("s8_store_counts", "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
 def s8_store_counts(spark, sf):
