@@ -20,6 +20,9 @@ from quarry.sources.tables import table
 from quarry.streaming import jobs as sj
 
 N_CHUNKS = 4
+WEEK_US = 7 * 86400 * 1_000_000
+LOG_DELAY = "8 days"          # a part of the log spans a week
+END_MARK = -1                 # client of the row that ends the log
 
 
 def stage_chunks(df: DataFrame, chunk: F.Column, path: str, fmt: str) -> tuple[str, int]:
@@ -52,11 +55,18 @@ def _record_chunks(spark, sf) -> tuple[str, int]:
 
 
 def _log_chunks(spark, sf) -> tuple[str, int]:
+    """The log in parts of a week, and at the end a mark far ahead that lets the watermark pass all rows."""
     e = table(spark, sf, "events")
     log = rl.request_log(e, "user_id", "ts", "event_id", F.col("event_type") == F.lit("error"))
     week = F.floor((F.col("ts_us") - F.lit(1_704_067_200_000_000))  # 2024-01-01 UTC
-                   / F.lit(7 * 86400 * 1_000_000)).cast("int")
-    return stage_chunks(log, week, shared_path(spark, "stream_log"), "parquet")
+                   / F.lit(WEEK_US)).cast("int")
+    path, most = stage_chunks(log, week, shared_path(spark, "stream_log"), "parquet")
+    last = log.agg(F.max("ts_us")).scalar()
+    mark = log.limit(1).select(*[
+        (last + F.lit(10 * WEEK_US)).alias(c) if c == "ts_us" else F.lit(END_MARK).cast("bigint").alias(c) if c == "client"
+        else F.col(c) for c in log.columns])
+    mark.write.parquet(f"{path}/chunk=99999")
+    return path, most
 
 
 _LOG_SCHEMA = "client BIGINT, ts_us BIGINT, event_id BIGINT, failed BOOLEAN, latency_ms DOUBLE"
@@ -89,10 +99,9 @@ def r1_stream_rate_limit(spark, sf):
     src, per_batch = _log_chunks(spark, sf)
     out = shared_path(spark, "stream_r1")
     dec = sj.stateful_decisions(sj.log_stream(spark, src, _LOG_SCHEMA, per_batch),
-                                sj.RateLimitProcessor(qr.WIDE_WINDOW_S, qr.WIDE_LIMIT),
-                                sj.DECISION_SCHEMA)
+                                sj.RateLimitProcessor(qr.WIDE_WINDOW_S, qr.WIDE_LIMIT), LOG_DELAY)
     sj.run_available(dec, sj.append_batches(out), shared_path(spark, "stream_ckpt"))
-    return rl.rate_limit_windows(spark.read.parquet(out))
+    return rl.rate_limit_windows(spark.read.parquet(out).where(F.col("client") != END_MARK))
 
 
 @register("r2_stream_breaker", qr._r2_sql(qr.BREAKER_THRESHOLD, qr.BREAKER_TIMEOUT_S))
@@ -101,10 +110,9 @@ def r2_stream_breaker(spark, sf):
     src, per_batch = _log_chunks(spark, sf)
     out = shared_path(spark, "stream_r2")
     calls = sj.stateful_decisions(sj.log_stream(spark, src, _LOG_SCHEMA, per_batch),
-                                  sj.BreakerProcessor(qr.BREAKER_THRESHOLD, qr.BREAKER_TIMEOUT_S),
-                                  sj.CALL_SCHEMA)
+                                  sj.BreakerProcessor(qr.BREAKER_THRESHOLD, qr.BREAKER_TIMEOUT_S), LOG_DELAY)
     sj.run_available(calls, sj.append_batches(out), shared_path(spark, "stream_ckpt"))
-    return rl.breaker_summary(spark.read.parquet(out))
+    return rl.breaker_summary(spark.read.parquet(out).where(F.col("client") != END_MARK))
 
 
 @register("r3_stream_windows", """
@@ -117,4 +125,4 @@ def r3_stream_windows(spark, sf):
                                   ["window_start_us", "client"])
     sj.run_available(sj.latency_window_stream(sj.log_stream(spark, src, _LOG_SCHEMA, per_batch)), sink,
                      shared_path(spark, "stream_ckpt"), output_mode="update")
-    return tbl.read().select("window_start_us", "client", "n_calls", "avg_ms", "max_ms")
+    return tbl.read().where(F.col("client") != END_MARK).select("window_start_us", "client", "n_calls", "avg_ms", "max_ms")

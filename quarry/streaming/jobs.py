@@ -4,8 +4,8 @@
   ``foreachBatch`` insert-if-absent into a versioned table; the version is
   the micro-batch id, so a replayed batch rewrites the same version.
 * dedup (K2): ``dropDuplicatesWithinWatermark`` on the content key.
-* rate limit (R1) and breaker (R2): ``transformWithStateInPandas`` with a
-  constant-size value state per client (no per-key history is kept).
+* rate limit (R1) and breaker (R2): ``transformWithStateInPandas`` in event time; rows wait
+  until the watermark has passed them, so results don't depend on files or micro-batches.
 * latency windows (R3): watermark + tumbling window, update mode, upserted
   per micro-batch.
 """
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,45 +91,85 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("n_in_window", T.LongType()), T.StructField("allowed", T.BooleanType())])
 
 
-class RateLimitProcessor(StatefulProcessor):
-    """R1 per client: state = (window start, requests counted in it)."""
+class OrderedProcessor(StatefulProcessor):
+    """Handles a client's rows in (ts, event_id) order, however files and micro-batches cut the log.
 
-    def __init__(self, window_seconds: int = K.RATE_WINDOW_SECONDS, limit: int = K.RATE_LIMIT):
-        self.w = int(window_seconds * 1_000_000)
-        self.limit = limit
+    Rows wait in list state until the watermark has passed them: none can come before them any more.
+    A timer at the earliest waiting row brings the client back when no new rows do.  Subclasses hold
+    what is left of the past in one value state and drop it when it can't matter any more."""
+
+    OUT: T.StructType
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start LONG, cnt LONG")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts_us LONG, event_id LONG, failed BOOLEAN")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "event_id"])
-        start, cnt = self.state.get() if self.state.exists() else (None, 0)
-        ts = pdf["ts_us"].to_numpy(dtype=np.int64)
-        starts = np.empty(len(ts), dtype=np.int64)
-        counts = np.empty(len(ts), dtype=np.int64)
-        for i, t in enumerate(ts):
-            if start is None or t >= start + self.w:
-                start, cnt = int(t), 1
+        for frame in rows:
+            self.waiting.appendList(list(zip(frame["ts_us"].astype("int64").tolist(), frame["event_id"].astype("int64").tolist(),
+                                             frame["failed"].astype(bool).tolist())))
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, key, watermark_ms: int):
+        held = sorted(tuple(r) for r in self.waiting.get())
+        ready = [r for r in held if r[0] <= watermark_ms * 1000]
+        rest = held[len(ready):]
+        if ready:
+            if rest:
+                self.waiting.put(rest)
             else:
-                cnt += 1
-            starts[i], counts[i] = start, cnt
-        self.state.update((int(start), int(cnt)))
-        yield pd.DataFrame({"client": key[0], "event_id": pdf["event_id"].to_numpy(),
-                            "ts_us": ts, "window_start_us": starts, "n_in_window": counts,
-                            "allowed": counts <= self.limit})
+                self.waiting.clear()
+            yield pd.DataFrame([(key[0], *r) for r in self.decide(ready, watermark_ms * 1000)], columns=self.OUT.names)
+        if rest:
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+
+    def decide(self, rows: list[tuple[int, int, bool]], passed_us: int) -> list[tuple]:
+        """Output rows without the client for rows in order; ``passed_us``: nothing earlier will come."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+class RateLimitProcessor(OrderedProcessor):
+    """R1 per client: state = (window start, requests counted in it), dropped once the window is over."""
+
+    OUT = DECISION_SCHEMA
+
+    def __init__(self, window_seconds: int = K.RATE_WINDOW_SECONDS, limit: int = K.RATE_LIMIT):
+        self.w = int(window_seconds * 1_000_000)
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("window", "start LONG, cnt LONG")
+
+    def decide(self, rows, passed_us):
+        start, cnt = self.state.get() if self.state.exists() else (None, 0)
+        out = []
+        for t, event, _failed in rows:
+            start, cnt = (t, 1) if start is None or t >= start + self.w else (start, cnt + 1)
+            out.append((event, t, start, cnt, cnt <= self.limit))
+        if passed_us >= start + self.w:
+            self.state.clear()
+        else:
+            self.state.update((start, cnt))
+        return out
+
+
 CALL_SCHEMA = T.StructType([
     T.StructField("client", T.LongType()), T.StructField("event_id", T.LongType()),
     T.StructField("ts_us", T.LongType()), T.StructField("failed", T.BooleanType()),
     T.StructField("outcome", T.StringType())])
 
 
-class BreakerProcessor(StatefulProcessor):
-    """R2 per client: state = (consecutive failures, last failure time, OPEN?)."""
+class BreakerProcessor(OrderedProcessor):
+    """R2 per client: state = (consecutive failures, last failure time, OPEN?), kept while there are failures."""
+
+    OUT = CALL_SCHEMA
 
     def __init__(self, threshold: int = K.BREAKER_THRESHOLD,
                  timeout_seconds: float = K.BREAKER_TIMEOUT_SECONDS):
@@ -138,30 +177,27 @@ class BreakerProcessor(StatefulProcessor):
         self.t = int(timeout_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("breaker", "failures LONG, last LONG, is_open BOOLEAN")
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "event_id"])
+    def decide(self, rows, passed_us):
         f, last, is_open = self.state.get() if self.state.exists() else (0, 0, False)
-        outcome = []
-        for t, failed in zip(pdf["ts_us"].to_numpy(), pdf["failed"].to_numpy()):
+        out = []
+        for t, event, failed in rows:
             if is_open and not (t - last > self.t):
-                outcome.append("rejected")
-                continue
-            if not failed:
-                f, is_open = 0, False
-                outcome.append("accepted")
+                outcome = "rejected"
+            elif not failed:
+                f, is_open, outcome = 0, False, "accepted"
             else:
-                f, last = f + 1, int(t)
+                f, last = f + 1, t
                 is_open = f >= self.threshold
-                outcome.append("opened" if is_open else "accepted")
-        self.state.update((int(f), int(last), bool(is_open)))
-        yield pd.DataFrame({"client": key[0], "event_id": pdf["event_id"].to_numpy(),
-                            "ts_us": pdf["ts_us"].to_numpy(), "failed": pdf["failed"].to_numpy(),
-                            "outcome": outcome})
-
-    def close(self) -> None:
-        pass
+                outcome = "opened" if is_open else "accepted"
+            out.append((event, t, failed, outcome))
+        if f:
+            self.state.update((f, last, is_open))
+        else:
+            self.state.clear()
+        return out
 
 
 def log_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -170,11 +206,11 @@ def log_stream(spark: SparkSession, path: str, schema: T.StructType,
             .option("recursiveFileLookup", "true").parquet(path))
 
 
-def stateful_decisions(log: DataFrame, processor: StatefulProcessor,
-                       out_schema: T.StructType) -> DataFrame:
-    return log.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=out_schema, outputMode="Append",
-        timeMode="None")
+def stateful_decisions(log: DataFrame, processor: OrderedProcessor, delay: str) -> DataFrame:
+    """Decisions per client; ``delay``: how much later than the newest row a row may still come."""
+    timed = log.withColumn("_ts", F.timestamp_micros("ts_us")).withWatermark("_ts", delay)
+    return timed.groupBy("client").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.OUT, outputMode="Append", timeMode="EventTime")
 
 
 def append_batches(table_path: str) -> Callable[[DataFrame, int], None]:
