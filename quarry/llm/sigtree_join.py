@@ -8,7 +8,8 @@ Two documents link when ``q * |A & B| >= p * |A | B|`` on their sets of distinct
    classes so that linked sets are in the same or the next class; for each class pair the hash range is
    cut into more than H segments, so linked sets agree on a whole segment.  Sets that agree on a segment
    are chained, and the components of the chains are the candidate groups.  Each task sends a key once,
-   however many copies it saw.
+   however many copies it saw.  For lower thresholds segments would hold too few tokens; linked sets then share
+   one of their rarest tokens (as many as they can't all do without), counted over all documents, and meet there.
 3. A group is cut into blocks by size class and hash.  Each block becomes a signature tree: a node holds
    the OR of its token bitmaps, its size range and its largest surplus (tokens beyond the set bits).  A
    dual traversal of two trees drops a node pair when the size ranges exclude a link or when the
@@ -32,18 +33,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import blocks as B
 from quarry.llm.blocks import shuffle_partitions
 from quarry.llm.components import EDGE, Forest, connected_components
 from quarry.llm.textvec import PART_ROWS, U64, mix, one_array, parts, rolling, salted, slices
 from quarry.session import cut_lineage
 
 _SHINGLE = 0x9FB21C651E98DF25 | 1
+SEGMENT_TOKENS = 16           # least (p + q) / (q - p) for segments: below, they would hold too few tokens
 SPARE_SEGMENTS = 2            # an empty segment proves nothing: that many may be left out
 LEAF, FANOUT = 8, 4
 BLOCK_SETS = 1024             # sets of one block of a candidate group,
 BLOCK_BYTES = 4 << 20         # and their token bytes, about
 CELL_BYTES = 8 << 20          # token bytes gathered by one verifying call, about
 BROADCAST_BYTES = 16 << 20
+ROW_BYTES = 64                # of a broadcast row, about
 
 
 # ---------------------------------------------------------------- sets
@@ -121,28 +125,60 @@ def _routes_of(n: int, p: int, q: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 2 * PART_ROWS):
-            ids, keys = [], []
-            seen = set()
+            keys: dict[int, np.ndarray] = {}
             for tokens in shingle_sets(batch.column("text"), n):
-                if len(tokens) and (sid := set_id(tokens)) not in seen:
-                    seen.add(sid)
-                    keys.append(routing_keys(tokens, bounds, p, q))
-                    ids.append(np.full(len(keys[-1]), sid, dtype=np.int64))
-            if not ids:
-                continue
-            key, sid = np.concatenate(keys).view(np.int64), np.concatenate(ids)
-            # a key seen before in this batch goes on as a link to the first set that had it
-            first, at = np.unique(key, return_index=True)
-            again = np.ones(len(key), dtype=bool)
-            again[at] = False
-            owner = sid[at][np.searchsorted(first, key[again])]
-            pair = np.unique(np.stack([owner, sid[again]], axis=1), axis=0) if again.any() else np.zeros((0, 2), np.int64)
-            link = mix(pair[:, 0].astype(U64) * U64(3) + mix(pair[:, 1].astype(U64))).view(np.int64)
-            yield pa.record_batch([pa.array(np.concatenate([first, link, link])),
-                                   pa.array(np.concatenate([sid[at], pair[:, 0], pair[:, 1]]))], names=["key", "sid"])
+                if len(tokens) and (sid := set_id(tokens)) not in keys:
+                    keys[sid] = routing_keys(tokens, bounds, p, q)
+            if keys:
+                yield key_rows(keys)
     return run
 
 
+def key_rows(keys: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """(key, sid) rows; a key seen before in this batch goes on as a link to the first set that had it."""
+    key = np.concatenate(list(keys.values())).view(np.int64)
+    sid = np.repeat(np.array(list(keys), dtype=np.int64), [len(k) for k in keys.values()])
+    first, at = np.unique(key, return_index=True)
+    again = np.ones(len(key), dtype=bool)
+    again[at] = False
+    owner = sid[at][np.searchsorted(first, key[again])]
+    pair = np.unique(np.stack([owner, sid[again]], axis=1), axis=0) if again.any() else np.zeros((0, 2), np.int64)
+    link = mix(pair[:, 0].astype(U64) * U64(3) + mix(pair[:, 1].astype(U64))).view(np.int64)
+    return pa.record_batch([pa.array(np.concatenate([first, link, link])),
+                            pa.array(np.concatenate([sid[at], pair[:, 0], pair[:, 1]]))], names=["key", "sid"])
+
+
+def rare_prefix(tokens: np.ndarray, times: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The rarest tokens, as many as a link can't do without, that another set may have too."""
+    n = len(tokens) - -(-p * len(tokens) // q) + 1
+    order = np.lexsort((tokens, times))[:n]
+    return tokens[order][times[order] > 1]
+
+
+def _rare_routes(texts: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """(key, sid): routing by rare tokens.  Linked sets share one of their ``|A| - ceil(p|A|/q) + 1`` rarest tokens;
+    how many documents have a token is counted exactly over buckets of the hash space (:mod:`quarry.llm.blocks`)."""
+    n_bytes = B.text_bytes(texts)
+    dealt = B.deal(texts, B.n_blocks_for(texts, n_bytes))
+    n_buckets = B.n_buckets_for(texts, n_bytes // 5)
+
+    def distinct_sets(table: pa.Table) -> dict[int, np.ndarray]:
+        return {set_id(t): t for t in shingle_sets(one_array(table.column("text")), n) if len(t)}
+
+    def items(table: pa.Table):
+        sets = list(distinct_sets(table).values())
+        return (np.concatenate(sets) if sets else np.zeros(0, U64)), None, None
+
+    def use(table: pa.Table, totals: np.ndarray) -> pa.Table:
+        keys, at = {}, 0
+        for sid, tokens in distinct_sets(table).items():
+            keys[sid] = rare_prefix(tokens, totals[at:at + len(tokens)], p, q)
+            at += len(tokens)
+        return pa.Table.from_batches([key_rows(keys)]) if keys else pa.table({"key": pa.array([], pa.int64()), "sid": pa.array([], pa.int64())})
+    answers = B.answer(B.send(dealt, items, n_buckets))
+    return B.receive(dealt, answers, items, n_buckets, use, "key long, sid long")
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between neighbours of equal key; rows come sorted by key."""
     last_key, last = None, None
@@ -281,20 +317,29 @@ def _labelled(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
     sets = cut_lineage(texts.mapInArrow(_sets_of(words, p, q),
                                         "doc_id long, text_hash long, sid long, n_shingles long, size_class long"))
 
-    routes = texts.select("text").mapInArrow(_routes_of(words, p, q), "key long, sid long")
+    if p + q >= SEGMENT_TOKENS * (q - p):        # a choice by the threshold alone
+        routes = texts.select("text").mapInArrow(_routes_of(words, p, q), "key long, sid long")
+    else:
+        routes = _rare_routes(texts.select("doc_id", "text"), words, p, q)
     chains = routes.repartition("key").sortWithinPartitions("key").mapInArrow(_chains, EDGE)
     groups = cut_lineage(connected_components(chains))
     links = connected_components(_verified(texts, sets, groups, words, p, q))
     links = cut_lineage(links.select(F.col("node").alias("sid"), "component"))
-    return sets.join(links, "sid", "left").withColumn("label", F.coalesce("component", "sid"))
+    return sets.join(_small(links), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A checkpointed table of a few longs a row: broadcast if its size allows, an ordinary join beyond that."""
+    return F.broadcast(rows) if rows.count() * ROW_BYTES <= BROADCAST_BYTES else rows
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, p: int = 90, q: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (columns doc_id, text)."""
     named = _labelled(docs, words, p, q)
-    least = named.where("sid is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    shared = cut_lineage(named.where("sid is not null").groupBy("label").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return named.join(_small(shared), "label", "left").select(
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -302,15 +347,14 @@ def one_of_each_group(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100
     text hash, stays; of rows equal in both, any one.  Texts without words all stay."""
     named = _labelled(docs, words, p, q).where("sid is not null")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    stays = named.groupBy("label").agg(F.min(place).alias("stays"))
-    keys = cut_lineage(named.join(stays, "label").groupBy("doc_id", "text_hash").agg(
+    stays = cut_lineage(named.groupBy("label").agg(F.min(place).alias("stays"), F.count(F.lit(1)).alias("of")).where("of > 1"))
+    keys = cut_lineage(named.join(_small(stays), "label").groupBy("doc_id", "text_hash").agg(
         F.max(place.eqNullSafe(F.col("stays"))).alias("first"), F.count(F.lit(1)).alias("n"))
         .select(F.col("doc_id").alias("_st_d"), F.col("text_hash").alias("_st_h"), "first", "n").where("not first or n > 1"))
-    n_keys, n_equal = keys.agg(F.count(F.lit(1)), F.count(F.when(F.col("first"), 1))).first()
+    n_equal = keys.where("first").count()
     marked = docs.withColumn("_st_hash", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_st_d")) & (F.col("_st_hash") == F.col("_st_h"))
-    small = F.broadcast(keys) if n_keys * 32 <= BROADCAST_BYTES else keys      # beyond that, an ordinary join
-    out = marked.join(small, same, "left_anti").select(*docs.columns)
+    out = marked.join(_small(keys), same, "left_anti").select(*docs.columns)
     if n_equal:                     # whole rows that repeat: one of each
         again = marked.join(keys.where("first"), same, "left_semi")
         out = out.unionByName(again.dropDuplicates(["doc_id", "_st_hash"]).select(*docs.columns))
@@ -338,7 +382,7 @@ def _verified(texts: DataFrame, sets: DataFrame, groups: DataFrame, words: int,
     n_rows, n_bytes = paired.agg(F.count(F.lit(1)), F.sum(F.col("n_shingles") * 8 * F.size("others"))).first()
     n_cells = max(4 * shuffle_partitions(texts), math.ceil((n_bytes or 0) / CELL_BYTES))
     wanted = paired.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "sid", "grp", "block", "others")
-    if n_rows * (48 + 16) <= BROADCAST_BYTES:      # beyond that, an ordinary join
+    if n_rows * ROW_BYTES <= BROADCAST_BYTES:      # beyond that, an ordinary join
         wanted = F.broadcast(wanted)
     schema = "sid long, grp long, block long, others array<long>, tokens binary"
     tokens = texts.join(wanted, texts.doc_id.eqNullSafe(F.col("d")) & (texts.text_hash == F.col("h"))) \
