@@ -5,7 +5,8 @@ node, counted by a partial aggregate, so a line that stands in a third of all do
 Every node has a 64-bit SimHash of its distinct words.  Two nodes link when their SimHashes differ in at most three
 bits and their edit similarity, ``1 - levenshtein / longer length``, is 0.8 or more.  Pigeonhole: three bits
 spoil at most three of five blocks, so two blocks agree; joining on all ten pairs of blocks (25 or 26 bits)
-misses no link.  Components of the links are the groups; the first occurrence in the order (doc_id, text
+misses no link.  Lines whose SimHashes are connected are compared in tasks of bounded blocks, which leave out pairs
+that are connected already: no pairs of a whole group are listed.  Components of the links are the groups; the first occurrence in the order (doc_id, text
 hash, line number) stays, all others go.
 
 Defined results: null texts stay null, empty texts empty; blank lines and lines of fewer than ``min_words``
@@ -32,6 +33,7 @@ SIMILARITY = 0.8
 MOST_BITS = 3                                   # of difference between linked SimHashes
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))      # (shift, width): MOST_BITS + 2 of them
 BROADCAST_BYTES = 16 << 20
+BLOCK_LINES = 2048                              # of a group, compared in one task
 _LINE = 0xB5297A4D3F84D5B5 | 1
 OCCURRENCE = "doc_id long, text_hash long, line int, node long, sim long"
 
@@ -103,13 +105,91 @@ def block_keys(sim: Column) -> Column:
                      for no, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b, of nodes whose SimHashes differ in at most MOST_BITS bits."""
-    keyed = nodes.select("node", "sim", F.explode(block_keys(F.col("sim"))).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= MOST_BITS
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near) \
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of SimHashes that share a key (rows come sorted by key), a spanning forest of those within MOST_BITS bits."""
+    key, sims = np.zeros(0, np.int64), np.zeros(0, U64)
+    for batch in batches:
+        key = np.concatenate([key, batch.column("key").to_numpy()])
+        sims = np.concatenate([sims, batch.column("sim").to_numpy().view(U64)])
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0        # the last run may go on
+        yield _forest(key[:last], sims[:last])
+        key, sims = key[last:], sims[last:]
+    yield _forest(key, sims)
+
+
+def _forest(key: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    two = begin[size == 2]
+    two = two[np.bitwise_count(sims[two] ^ sims[two + 1]) <= MOST_BITS]
+    a, b = [sims[two]], [sims[two + 1]]
+    for at, n in zip(begin[size > 2], size[size > 2]):
+        run = sims[at:at + n]
+        links = list(spanning(run, lambda i, j: True))
+        a.append(run[[i for i, _ in links]])
+        b.append(run[[j for _, j in links]])
+    return pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+
+def spanning(sims: np.ndarray, similar, right: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that connect all that links connect: SimHashes within MOST_BITS bits and ``similar(i, j)``.
+    Pairs that are connected already are not looked at.  ``right``: only links between these and the others."""
+    label = np.arange(len(sims))
+    other = np.zeros(len(sims), dtype=bool) if right is None else right
+    for i in np.arange(len(sims)) if right is None else np.flatnonzero(~other):
+        open_ = (np.bitwise_count(sims ^ sims[i]) <= MOST_BITS) & (label != label[i])
+        open_ &= np.arange(len(sims)) > i if right is None else other
+        while len(found := np.flatnonzero(open_)):
+            j = int(found[0])
+            open_[j] = False
+            if similar(int(i), j):
+                label[label == label[j]] = label[i]
+                open_ &= label != label[i]
+                yield int(i), j
+
+
+def near_groups(nodes: DataFrame) -> DataFrame:
+    """(sim, grp) of the distinct SimHashes that have another one within MOST_BITS bits, connected."""
+    sims = nodes.select("sim").distinct()
+    keyed = sims.select(F.explode(block_keys(F.col("sim"))).alias("key"), "sim")
+    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_near, "a long, b long")
+    return connected_components(edges).select(F.col("node").alias("sim"), F.col("component").alias("grp"))
+
+
+def levenshtein(a: str, b: str) -> int:
+    """Edit distance, bit-parallel over the shorter text, without their common ends."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    lo, hi = 0, len(b)
+    while lo < hi:                                             # common prefix
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid - 1)
+    a, b = a[lo:], b[lo:]
+    lo, hi = 0, len(b)
+    while lo < hi:                                             # common suffix
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[len(a) - mid:] == b[len(b) - mid:] else (lo, mid - 1)
+    a, b = a[:len(a) - lo], b[:len(b) - lo]
+    if not b:
+        return len(a)
+    where: dict[str, int] = {}
+    for i, ch in enumerate(b):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full, top = (1 << len(b)) - 1, 1 << len(b) - 1
+    up, down, score = full, 0, len(b)                          # vertical steps of +1 and -1
+    for ch in a:
+        eq = where.get(ch, 0)
+        vertical = eq | down
+        across = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(across | up) & full, up & across
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(vertical | plus)) & full, plus & vertical & full
+    return score
+
+
+def similar_lines(x: str, y: str, share: float) -> bool:
+    most = int((1 - share) * max(len(x), len(y)) + 1e-9)
+    return abs(len(x) - len(y)) <= most and levenshtein(x, y) <= most
 
 
 def normalised(line: Column) -> Column:
@@ -117,27 +197,59 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(line, upper, upper.lower()), "[ \\t\\x0B\\f\\r]+", " "))
 
 
-def similar(x: str, y: str, share: float) -> Column:
-    """Edit similarity of two columns is ``share`` or more."""
-    most = f"cast(floor((1 - {share}D) * greatest(length({x}), length({y})) + 1e-9D) as int)"
-    return F.expr(f"levenshtein({x}, {y}, {most}) >= 0")
-
-
 def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
     """Marked for broadcast if its measured size allows; an ordinary join otherwise."""
     size = df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def _lines_of_nodes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, line text) for wanted (node, doc_id, text_hash, line)."""
+def _with_lines(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, text_hash, line and more) with ``words``, the normalised line."""
+    more = [c for c in wanted.columns if c not in ("doc_id", "text_hash", "line")]
     by_doc = cut_lineage(wanted.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(
-        F.collect_list(F.struct("node", "line")).alias("asked")))
-    found = texts.join(_small(by_doc, F.size("asked") * 16 + 40), _same_doc())
+        F.collect_list(F.struct("line", *more)).alias("asked")))
+    found = texts.join(_small(by_doc, F.size("asked") * 48 + 40), _same_doc())
     row = F.split("text", "\n", -1)
     return found.select(F.explode(F.transform("asked", lambda w: F.struct(
-        w["node"].alias("node"), normalised(F.get(row, w["line"])).alias("words")))).alias("s")).select("s.*") \
-        .dropDuplicates(["node"])
+        *[w[c].alias(c) for c in more], normalised(F.get(row, w["line"])).alias("words")))).alias("s")).select("s.*")
+
+
+def _verify(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        tasks: dict[tuple, dict[int, tuple]] = {}
+        for g, x, y, block, node, sim, words in zip(*(table.column(c).to_pylist() for c in (
+                "grp", "bx", "by", "block", "node", "sim", "words"))):
+            tasks.setdefault((g, x, y), {})[node] = (block, sim, words)
+        a, b = [], []
+        for (_g, x, y), members in tasks.items():
+            nodes = sorted(members)
+            sims = np.array([members[n][1] for n in nodes], dtype=np.int64).view(U64)
+            lines = [members[n][2] for n in nodes]
+            right = None if x == y else np.array([members[n][0] == y for n in nodes])
+            for i, j in spanning(sims, lambda i, j: similar_lines(lines[i], lines[j], similarity), right):  # noqa: B023
+                a.append(nodes[i])
+                b.append(nodes[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def links(texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes: enough of them to connect all that links connect."""
+    groups = cut_lineage(near_groups(nodes))
+    named = cut_lineage(nodes.join(_small(groups, F.lit(24)), "sim", "left").select(
+        "node", "sim", "place", F.coalesce("grp", "sim").alias("grp")))
+    sizes = cut_lineage(named.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = named.join(_small(sizes, F.lit(24)), "grp").withColumn("m", F.ceil(F.col("n") / BLOCK_LINES).cast("bigint"))
+    wanted = members.select("node", "sim", "grp", F.pmod("node", "m").alias("block"), "m",
+                            "place.doc_id", "place.text_hash", "place.line")
+    lines = _with_lines(texts, wanted)
+    # every pair of a group's blocks is a task of its own
+    rows = lines.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))) \
+        .withColumn("bx", F.least("block", "other")).withColumn("by", F.greatest("block", "other")).drop("other", "m")
+    n = wanted.agg(F.sum("m")).first()[0] or 0
+    n_cells = max(2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK_LINES))
+    cell = F.pmod(F.xxhash64("grp", "bx", "by"), F.lit(n_cells)).cast("int")
+    return rows.withColumn("cell", cell).groupBy("cell").applyInArrow(_verify(similarity), "a long, b long")
 
 
 def _same_doc() -> Column:
@@ -150,18 +262,11 @@ def removals(texts: DataFrame, min_words: int = MIN_WORDS, similarity: float = S
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line")
     nodes = cut_lineage(seen.groupBy("node").agg(F.max("sim").alias("sim"), F.min(place).alias("place"),
                                                  F.count(F.lit(1)).alias("n")))
-    pairs = cut_lineage(candidate_pairs(nodes))
-    members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    lines = _lines_of_nodes(texts, nodes.join(members, "node").select("node", "place.doc_id", "place.text_hash", "place.line"))
-    lines = cut_lineage(lines)
-    x = lines.select(F.col("node").alias("a"), F.col("words").alias("x"))
-    y = lines.select(F.col("node").alias("b"), F.col("words").alias("y"))
-    groups = connected_components(pairs.join(x, "a").join(y, "b").where(similar("x", "y", similarity)).select("a", "b"))
-    named = nodes.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
-    kept = named.groupBy("grp").agg(F.min("place").alias("stays"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("lines")) \
-        .where("n > 1")
-    doomed = named.join(kept.select("grp", "stays"), "grp").select("node", "stays")
-    gone = seen.join(doomed, "node").where(~place.eqNullSafe(F.col("stays")))
+    groups = cut_lineage(connected_components(links(texts, nodes, similarity)))
+    named = nodes.join(_small(groups, F.lit(24)), "node", "left").withColumn("grp", F.coalesce("component", "node"))
+    kept = cut_lineage(named.groupBy("grp").agg(F.min("place").alias("stays"), F.sum("n").alias("n")).where("n > 1"))
+    doomed = cut_lineage(named.join(_small(kept, F.lit(64)), "grp").select("node", "stays"))
+    gone = seen.join(_small(doomed, F.lit(64)), "node").where(~place.eqNullSafe(F.col("stays")))
     return gone.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(
         F.collect_set("line").alias("removed"))
 

@@ -249,5 +249,30 @@ def test_op4_blocks_miss_no_pair():
         assert sum((x >> s) & m == 0 for s, m in widths) >= 2
 
 
+def test_op4_large_group_in_blocks(spark, monkeypatch):
+    """A group over several blocks: the same groups as in one."""
+    rnd = random.Random(9)
+    base = [f"word{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rnd.randrange(80)] = f"other{rnd.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    want = brute_lines(rows, 4, 0.8)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 7)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in out) == want
+    assert sum(r.n_removed for r in out) > 30
+
+
+def test_levenshtein():
+    rnd = random.Random(2)
+    for _ in range(500):
+        a = "".join(rnd.choices("abc", k=rnd.randint(0, 30)))
+        b = "".join(rnd.choices("abcd", k=rnd.randint(0, 30)))
+        assert line_dedup.levenshtein(a, b) == levenshtein(a, b)
+
+
 def test_op4_empty_table(empty):
     assert line_dedup.dedup_lines(empty).collect() == []
