@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 PORTION = 1 << 20            # characters of a text handled at once
 CHUNK_KEPT = 48              # longest chunk whose ids are kept
-KEPT_CHUNKS = 400_000
-KEPT_STATES = 250_000
+KEPT_CHUNKS = 300_000
+KEPT_STATES = 120_000
 ROOT = 0
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -115,7 +115,7 @@ class Transducer:
             else:
                 known = not any((rank := self.ranks.get(x + y, 1 << 61)) < x_ends and rank <= y_ends
                                 for x, x_ends in self.seam(last, True) for y, y_ends in self.seam(token, False))
-            if len(self._follows) > 8 * KEPT_STATES:
+            if len(self._follows) > 4 * KEPT_STATES:
                 self._follows.clear()
             self._follows[last, token] = known
         return known
