@@ -267,6 +267,126 @@ def test_op3_rules():
     assert [m["sentences"] for m in license_scan.scan_text(far)[2]] == [["gpl-3.0-free"]]
 
 
+# Unshortened public notices, as they stand in files.
+NOTICES = {
+    "Apache-2.0": """# Copyright 2020 A B
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+""",
+    "LGPL-2.1-or-later": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.
+""",
+    "LGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Lesser General Public License for more details.
+""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.
+""",
+    "ISC": """ISC License
+
+Copyright (c) 2020, A B
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+""",
+    "Zlib": """Copyright (c) 2020 A B
+
+This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+""",
+    "BSL-1.0": """// Copyright 2020 A B
+// Distributed under the Boost Software License, Version 1.0.
+// (See accompanying file LICENSE_1_0.txt or copy at
+// http://www.boost.org/LICENSE_1_0.txt)
+""",
+    "EPL-2.0": """ * This program and the accompanying materials are made
+ * available under the terms of the Eclipse Public License 2.0
+ * which is available at https://www.eclipse.org/legal/epl-2.0/
+""",
+    "EPL-1.0": """ * All rights reserved. This program and the accompanying materials
+ * are made available under the terms of the Eclipse Public License v1.0
+ * which accompanies this distribution, and is available at
+ * http://www.eclipse.org/legal/epl-v10.html
+""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring
+rights to this software to the public domain worldwide. This software is distributed without any warranty.
+
+You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see
+<http://creativecommons.org/publicdomain/zero/1.0/>.
+""",
+}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+def test_op3_public_notices(name):
+    assert license_scan.scan_text(NOTICES[name])[1] == [name]
+
+
+def test_op3_apache_header_whole():
+    asf = NOTICES["Apache-2.0"].replace('Licensed under the', 'The ASF licenses this file to You under the')
+    for text in (NOTICES["Apache-2.0"], asf):
+        (match,) = license_scan.scan_text(text)[2]
+        assert match["sentences"] == ["copyright-line", "apache-2.0-ref", "apache-2.0-comply", "apache-2.0-obtain", "apache-2.0-as-is"]
+
+
+def test_op3_boost_full_text():
+    text = "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + license_scan.SENTENCES["bsl-1.0-grant"][0].replace(" of ", "\nof ") + ":\n"
+    assert license_scan.scan_text(text)[1] == ["BSL-1.0"]
+
+
+def test_op3_spdx():
+    def names(text):
+        return license_scan.scan_text(text)[1]
+    assert names("// SPDX-License-Identifier: apache-2.0\nint x;") == ["Apache-2.0"]
+    assert names("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause */") == ["Apache-2.0", "BSD-3-Clause", "MIT"]
+    assert names("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0") == ["GPL-2.0-only"]
+    assert names("<!-- SPDX-License-Identifier: 0BSD -->") == ["0BSD"] and names("SPDX-License-Identifier:") == []
+    (match,) = license_scan.scan_text("a b. SPDX-License-Identifier: MIT is here")[2]
+    assert (match["sentences"], match["start"], match["stop"]) == (["spdx:MIT"], 5, 33)
+    assert names("SPDX-License-Identifier: MIT\nReleased under the MIT License.") == ["MIT"]
+
+
 def test_op3_whole_table(spark, documents):
     where = "/root/testdata/sf0.01"
     marks = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.",
