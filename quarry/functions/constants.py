@@ -1,5 +1,7 @@
 """Constants shared by the Spark jobs and their DuckDB oracles."""
 
+from html.entities import html5
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must equal the reference service's values for results
 # (prompts, cache keys, truncation points, enums) to be the same.
@@ -107,7 +109,7 @@ KNOWN_HEADERS = ("subject", "from", "to", "cc", "date", "mime-version", "content
 SENTENCE_RE = r"([^.!?]+[.!?]?)"
 TOKEN_RE = r"(\p{L}+)"
 
-# Entities decoded by the HTML jobs, '&amp;' last.
+# Entities decoded by the DuckDB oracles, '&amp;' last; the jobs decode all (ENTITY_MAP).
 ENTITIES = (
     ("&nbsp;", " "),
     ("&lt;", "<"),
@@ -143,6 +145,16 @@ ENTITIES = (
     ("&#160;", " "),
     ("&amp;", "&"),
 )
+# Names and code points with a text of their own: those above, the bytes of windows-1252 that
+# HTML reads for the code points 128-159, and all names of HTML.
+ENTITY_MAP = {ent[1:-1]: ch for ent, ch in reversed(ENTITIES)}
+for _n in range(0x80, 0xa0):
+    _ch = bytes([_n]).decode("cp1252", "ignore")
+    if _ch:
+        ENTITY_MAP[f"#{_n}"] = _ch
+for _name, _ch in html5.items():
+    if _name.endswith(";"):
+        ENTITY_MAP.setdefault(_name[:-1], _ch)
 
 COMMENT_RE = r"(?s)<!--.*?-->"
 SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"

@@ -39,11 +39,44 @@ def content_key(id_col, text_col) -> Column:
     return F.coalesce(F.nullif(_c(id_col), F.lit("")), F.md5(collapse_ws(text_col)))
 
 
+def _entities() -> Column:
+    """Literal map of name (or ``#`` and a decimal code point) to text; the commonest stand first."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in K.ENTITY_MAP.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _code_point(ref: Column) -> Column:
+    """Decimal code point, as a string, of ``#8220`` or ``#x201C`` (eight digits at most are looked at:
+    more are above U+10FFFF in any case)."""
+    hexa = F.lower(ref.substr(2, 1)) == F.lit("x")
+    digits = F.ltrim(ref.substr(F.lit(2), F.length(ref)), F.lit("xX0"))
+    first = F.left(digits, F.lit(8))
+    return F.coalesce(F.when(digits == F.lit(""), F.lit("0")).when(hexa, F.conv(first, 16, 10)).otherwise(first), F.lit("0"))
+
+
+def _character(code_point: Column) -> Column:
+    """The character of a code point; U+FFFD for 0, surrogates and what lies above U+10FFFF."""
+    n = code_point.cast("bigint")
+    bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    code = F.when(bad, F.lit(0xFFFD).cast("bigint")).otherwise(n)
+    # the mark in front keeps the decoder from taking U+FEFF as one
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+
+
 def decode_entities(col) -> Column:
-    c = _c(col)
-    for ent, ch in K.ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Character references (decimal, hex, all HTML names) with their semicolon, each decoded once;
+    unknown names stay as they are."""
+    def value(ref):
+        numeric = F.transform(F.array(_code_point(ref)), lambda n: F.coalesce(
+            F.try_element_at(_entities(), F.concat(F.lit("#"), n)), _character(n)))
+        return F.when(F.startswith(ref, F.lit("#")), F.get(numeric, F.lit(0))).otherwise(F.try_element_at(_entities(), ref))
+
+    def decoded(part):
+        ref = F.regexp_extract(part, r"\A(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        return F.get(F.transform(F.array(ref), lambda r: F.coalesce(
+            F.when(r != F.lit(""), F.concat(value(r), part.substr(F.length(r) + 2, F.length(part)))),
+            F.concat(F.lit("&"), part))), F.lit(0))
+    parts = F.split(_c(col), "&", -1)
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(decoded(part))), "")
 
 
 def drop_invisible(col) -> Column:

@@ -141,3 +141,27 @@ def test_key_details(spark):
     got = {(r.kind, r.value) for r in ql.key_details_long(df).collect()}
     assert got == {("reference", "AB-12"), ("date", "2024-05-01"), ("amount", "$1,200.50"),
                    ("email", "ops@example.com")}
+
+
+def test_entities_outside_the_fixed_list(spark):
+    s = ("&#8220;a&#x201D; &#x2019;&#X2019; &#233;&#00233; &aacute;&szlig;&NotEqualTilde; &#128512;&#x1F600; &#x80;&#133; &#xfeff;"
+         " &amp;#233; &amp;amp; &&lt;x &nope; &#; &#x; &# 1; &copy &#0;&#xD800;&#x110000;&#99999999999999999999; R&D; a&b")
+    want = ("“a” ’’ éé áß≂̸ \U0001f600\U0001f600 €… ﻿"
+            " &#233; &amp; &<x &nope; &#; &#x; &# 1; &copy ���� R&D; a&b")
+    assert one(spark, s, tx.decode_entities) == want
+    assert one(spark, None, tx.decode_entities) is None and one(spark, "", tx.decode_entities) == ""
+
+
+def test_every_named_entity(spark):
+    from html.entities import html5
+    fixed = dict(K.ENTITIES)
+    names = sorted(n for n in html5 if n.endswith(";"))
+    got = one(spark, "\x00".join("&" + n for n in names), tx.decode_entities).split("\x00")
+    assert got == [fixed.get("&" + n, html5[n]) for n in names] and len(names) > 2000
+
+
+def test_entities_in_links_and_text(spark):
+    page = '<p>caf&#233; &#8220;x&#8221;</p><a href="/s?q=&#xe9;&amp;b=1">&szlig; <b>&#x2713;</b></a>'
+    assert one(spark, page, tx.html_to_clean_text) == "café “x”\n\n[ß **✓**](/s?q=é&b=1)"
+    got = spark.createDataFrame([(page,)], "x string").select(*tx.link_edges("x")).first()
+    assert (got[0], got[1]) == (["/s?q=é&b=1"], ["ß ✓"])
