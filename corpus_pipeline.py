@@ -24,9 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each group of near-equal lines stays; a document that loses all its words goes."""
+    """One line of each group of near-equal lines, or equal ones of under four words, stays; a document that loses all its words goes."""
     had_words = docs.withColumn("_had", F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
-    out = line_dedup.dedup_lines(had_words, min_words=4, similarity=0.8)
+    out = line_dedup.dedup_lines(had_words, min_words=4, similarity=0.8, exact_words=1)
     out = out.where(~F.col("_had") | F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))

@@ -9,8 +9,8 @@ misses no link.  Lines whose SimHashes are connected are compared in tasks of bo
 that are connected already: no pairs of a whole group are listed.  Components of the links are the groups; the first occurrence in the order (doc_id, text
 hash, line number) stays, all others go.
 
-Defined results: null texts stay null, empty texts empty; blank lines and lines of fewer than ``min_words``
-words always stay; rows with null doc_id come last in the order; rows equal in doc_id and text are treated
+Defined results: null texts stay null, empty texts empty; blank lines always stay; lines of fewer than
+``min_words`` words link to equal ones only, and always stay if they have fewer than ``exact_words`` too; rows with null doc_id come last in the order; rows equal in doc_id and text are treated
 alike; a text whose lines all go becomes empty.  Other columns pass through; n_lines and n_removed are replaced.
 """
 
@@ -35,7 +35,7 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))      # (shift, width)
 BROADCAST_BYTES = 16 << 20
 BLOCK_LINES = 2048                              # of a group, compared in one task
 _LINE = 0xB5297A4D3F84D5B5 | 1
-OCCURRENCE = "doc_id long, text_hash long, line int, node long, sim long"
+OCCURRENCE = "doc_id long, text_hash long, line int, node long, sim long, fuzzy boolean"
 
 
 def simhash(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -57,8 +57,8 @@ def simhash(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def lines_of(texts: pa.Array, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, line number, node, SimHash) of the lines with at least ``min_words`` words."""
+def lines_of(texts: pa.Array, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, line number, node, SimHash, number of words) of the lines with at least ``min_words`` words."""
     for at, _to, w in slices(texts):
         if not len(w.start):
             continue
@@ -76,7 +76,7 @@ def lines_of(texts: pa.Array, min_words: int) -> Iterator[tuple[np.ndarray, np.n
         np.cumsum(h * powers(inverse(_LINE), len(h)), out=total[1:])
         node = mix((total[first + size] - total[first]) * powers(_LINE, len(h))[first] + size.astype(U64))
         keep = size >= min_words
-        yield doc[first][keep] + at, line[first][keep], node[keep], simhash(h, first)[keep]
+        yield doc[first][keep] + at, line[first][keep], node[keep], simhash(h, first)[keep], size[keep]
 
 
 def _offsets(texts: pa.Array, at: int, n: int) -> np.ndarray:
@@ -84,15 +84,15 @@ def _offsets(texts: pa.Array, at: int, n: int) -> np.ndarray:
     return buffers(texts.slice(at, n))[1][:-1]
 
 
-def _occurrences(min_words: int):
+def _occurrences(min_words: int, exact_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            for doc, line, node, sim in lines_of(batch.column("text"), min_words):
+            for doc, line, node, sim, size in lines_of(batch.column("text"), min(min_words, exact_words)):
                 at = pa.array(doc)
                 yield pa.record_batch(
                     [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(line, pa.int32()),
-                     pa.array(node.view(np.int64)), pa.array(sim.view(np.int64))],
-                    names=["doc_id", "text_hash", "line", "node", "sim"])
+                     pa.array(node.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(size >= min_words)],
+                    names=["doc_id", "text_hash", "line", "node", "sim", "fuzzy"])
     return run
 
 
@@ -256,13 +256,14 @@ def _same_doc() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
 
 
-def removals(texts: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def removals(texts: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+             exact_words: int | None = None) -> DataFrame:
     """(d, h, removed): line numbers to remove of each text (doc_id d, text hash h) that loses any."""
-    seen = cut_lineage(texts.mapInArrow(_occurrences(min_words), OCCURRENCE))
+    seen = cut_lineage(texts.mapInArrow(_occurrences(min_words, min_words if exact_words is None else exact_words), OCCURRENCE))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line")
     nodes = cut_lineage(seen.groupBy("node").agg(F.max("sim").alias("sim"), F.min(place).alias("place"),
-                                                 F.count(F.lit(1)).alias("n")))
-    groups = cut_lineage(connected_components(links(texts, nodes, similarity)))
+                                                 F.count(F.lit(1)).alias("n"), F.max("fuzzy").alias("fuzzy")))
+    groups = cut_lineage(connected_components(links(texts, nodes.where("fuzzy"), similarity)))
     named = nodes.join(_small(groups, F.lit(24)), "node", "left").withColumn("grp", F.coalesce("component", "node"))
     kept = cut_lineage(named.groupBy("grp").agg(F.min("place").alias("stays"), F.sum("n").alias("n")).where("n > 1"))
     doomed = cut_lineage(named.join(_small(kept, F.lit(64)), "grp").select("node", "stays"))
@@ -271,10 +272,12 @@ def removals(texts: DataFrame, min_words: int = MIN_WORDS, similarity: float = S
         F.collect_set("line").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` (doc_id, text, any other columns) without the removed lines; adds n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+                exact_words: int | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, any other columns) without the removed lines; adds n_lines and n_removed.
+    Lines of ``exact_words`` words or more (``min_words`` if not given) go when they are equal to one that stays."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    gone = cut_lineage(removals(texts, min_words, similarity))
+    gone = cut_lineage(removals(texts, min_words, similarity, exact_words))
     gone = _small(gone, F.size("removed") * 4 + 40).withColumnsRenamed({"d": "_ld_d", "h": "_ld_h", "removed": "_ld_removed"})
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = F.split("text", "\n", -1)

@@ -8,7 +8,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry.llm import line_dedup, sigtree_join, substring_dedup
 from quarry.llm.components import connected_components
 from quarry.llm.queries import QUERIES
@@ -240,6 +242,17 @@ def test_op4_near_lines(spark):
     assert {(d, m, t) for d, _n, m, t in want} == {(d, m, t) for d, (m, t) in got.items()}
 
 
+def test_op4_equal_short_lines(spark):
+    """Lines of under four words go when equal to an earlier one, and link to no other."""
+    rows = [(1, "All rights reserved.\nmenu\n\none two threes"), (2, "all  RIGHTS reserved.\nMenu\n\none two three"), (3, "menu"), (None, "menu\nx")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(frame, min_words=4, exact_words=1).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "\none two three"), 3: (1, ""), None: (1, "x")}
+    assert {r.n_removed for r in line_dedup.dedup_lines(frame, min_words=4).collect()} == {0}
+    stage = corpus_pipeline.dedup_lines(spark, frame.withColumn("n_chars", F.lit(7).cast("bigint")), "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in stage.collect()} == {1: (rows[0][1], 7), 2: ("\none two three", 14), None: ("x", 1)}
+
+
 def test_op4_blocks_miss_no_pair():
     """Pigeonhole: whatever three bits differ, a pair of blocks agrees."""
     widths = [(s, (1 << w) - 1) for s, w in line_dedup.BLOCKS]
