@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 from quarry.llm.textvec import parts
 
 GAP = 2
-MOST_FRAGMENTS = 24          # a known sentence may be wrapped over as many lines
 
 # Sentences of public licence texts and notices, by identifier.
 SENTENCES = {
@@ -232,7 +231,7 @@ def sentences(frags: list) -> list[tuple[str, int, int]]:
             best = ("copyright-line", i, i)
         most = STARTS.get(head[0], 0)
         words: tuple[str, ...] = ()
-        for j in range(i, min(len(frags), i + MOST_FRAGMENTS) if most else i):
+        for j in range(i, len(frags) if most else i):
             words += frags[j][2]
             if len(words) > most:
                 break

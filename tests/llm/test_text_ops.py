@@ -375,6 +375,12 @@ def test_op3_boost_full_text():
     assert license_scan.scan_text(text)[1] == ["BSL-1.0"]
 
 
+def test_op3_narrow_column():
+    """A word a line: only the words of the longest known sentence bound the search."""
+    text = "\n".join((license_scan.SENTENCES["mit-grant"][0] + ":\n" + license_scan.SENTENCES["mit-notice"][0] + ".").split())
+    assert license_scan.scan_text(text)[1] == ["MIT"]
+
+
 def test_op3_spdx():
     def names(text):
         return license_scan.scan_text(text)[1]
