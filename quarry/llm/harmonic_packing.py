@@ -50,7 +50,9 @@ def rest_cuts(n: int, capacity: int) -> tuple[int, ...]:
     """Lengths of the pieces of ``n`` < capacity tokens."""
     out = []
     while n * FINE > capacity:
-        k = next(k for k in range(1, capacity + 1) if (left := n - capacity // k) == 0 or left >= LEAST)
+        k = next((k for k in range(1, capacity + 1) if (left := n - capacity // k) == 0 or left >= LEAST), None)
+        if k is None:                                                  # of small capacities only
+            break
         out.append(capacity // k)
         n -= capacity // k
     return (*out, n) if n else tuple(out)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import bloom_lm, bpe_fst, crf_quality, license_scan, line_dedup, mixing, multiprobe_lsh, resync_tokens, sigtree_join, substring_dedup
-from quarry.llm.vocabularies import BYTE_RANKS, PATTERN, PIECES
+from quarry.llm import (bloom_lm, bpe_fst, crf_quality, fill_in_middle, harmonic_packing, license_scan, line_dedup, mixing, multiprobe_lsh,
+                        periodic_runs, resync_tokens, sigtree_join, substring_dedup)
+from quarry.llm.vocabularies import BYTE_RANKS, PATTERN, PIECES, WORDS
 from quarry.sources.tables import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -125,3 +126,63 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(docs.select("doc_id", F.col("text"))).drop("text")
     return found.select("doc_id", "n_sentences", F.size("matches").cast("bigint").alias("n_matches"),
                         F.concat_ws(",", "licenses").alias("licenses"), "matches")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+c AS (
+  SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS c1,
+         ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:least(c1, c2)], '') AS prefix,
+         array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle,
+         array_to_string(u[greatest(c1, c2) + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` cut into lines, seed 7."""
+    out = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The query's input: where crc32(doc_id) ends in 0, the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", "text", (F.coalesce(h % 10 == 0, F.lit(False)) & F.col("text").rlike("[^ \\t-\\r]")).alias("planted"), g.alias("g"))
+    words = F.when(F.col("planted"), F.expr(r"regexp_extract_all(text, '[^ \\t-\\r]+', 0)"))
+    rows = rows.withColumn("w", words).withColumn("a", F.expr("cast(g % size(w) as int)")) \
+        .withColumn("p", F.expr("cast(1 + (size(w) - a) div (3 + g % 8) as int)"))
+    planted = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, get(w, a + (i - a) % p))), ' ')")
+    return rows.select("doc_id", F.when(F.col("planted"), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, a tenth of them made periodic; runs of 12 words or more."""
+    out = periodic_runs.runs_of(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length, (-r.start).alias("s"), (-r.period).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return out.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.expr("best.length * 1000 div -best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_harmonic_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` as tokens and an end token, in sequences of 4,096."""
+    return harmonic_packing.pack(table(spark, sf_dir, "documents"), WORDS).drop("ids")

@@ -5,3 +5,4 @@ import public_tokenizers
 PATTERN = public_tokenizers.PATTERN
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
