@@ -84,6 +84,41 @@ MIME_SQL = """mime AS (
   FROM documents d LEFT JOIN pages p ON d.doc_id % (SELECT count(*) FROM pages) = p.page_id)"""
 
 
+# --- encoded and nested MIME messages (T1) -------------------------------------
+# doc_id % 4: 0 base64, 1 quoted-printable, 2 three levels of multiparts and a forwarded message, 3 base64 in ISO-8859-1.
+
+
+def mime_tree_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    n_pages = p.agg(F.count(F.lit(1))).scalar()
+    j = d.withColumn("page_key", F.col("doc_id") % n_pages).join(p, F.col("page_key") == p.page_id, "left")
+    no = F.col("doc_id").cast("string")
+
+    def b64(data):
+        return F.regexp_replace(F.base64(data), "([^\r\n]{76})", "$1\n")
+
+    def qp(data):
+        return F.regexp_replace(F.regexp_replace(F.hex(data), "(..)", "=$1"), "((?:=..){25})", "$1=\n")
+    body = F.concat(F.lit("Doc "), no, F.lit("\n"), F.col("text"))
+    latin = F.concat(F.lit("Doc "), no, F.lit(" caf\u00e9\n"), F.regexp_replace("text", r"[^\x00-\x7F]", ""))
+    subject = F.concat(F.lit("Subject: =?utf-8?B?"), F.base64(F.concat(F.lit("D\u00fcsseldorf "), no).cast("binary")),
+                       F.lit("?=\n =?iso-8859-1?q?caf=E9_"), no, F.lit("?= end\nMIME-Version: 1.0\n"))
+    plain = F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: ")
+    nested = F.concat(
+        F.lit('Content-Type: multipart/mixed;\n boundary="b1"\n\npreamble\n--b1\nContent-Type: multipart/related; boundary="b 2"\n\n--b 2\n'
+              'Content-Type: multipart/alternative; boundary=b3\n\n--b3\n'), plain, F.lit("quoted-printable\n\n"), qp(body.cast("binary")),
+        F.lit("\n--b3\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), b64(F.coalesce("html", F.lit("")).cast("binary")),
+        F.lit("\n--b3--\n\n--b 2\nContent-Type: image/png\nContent-Transfer-Encoding: base64\n\niVBORw0KGgo=\n--b 2--\n--b1\n"
+              "Content-Type: message/rfc822\n\nSubject: inner\nContent-Type: text/plain\n\nforwarded "), no, F.lit("\n--b1--\nepilogue\n"))
+    kind = F.col("doc_id") % 4
+    raw = F.when(kind == 0, F.concat(plain, F.lit("base64\n\n"), b64(body.cast("binary")))) \
+        .when(kind == 1, F.concat(plain, F.lit("quoted-printable\n\n"), qp(body.cast("binary")))).when(kind == 2, nested) \
+        .otherwise(F.concat(F.lit("Content-Type: text/plain; charset=ISO-8859-1\nContent-Transfer-Encoding: base64\n\n"),
+                            b64(F.encode(latin, "ISO-8859-1"))))
+    return j.select("doc_id", F.concat(subject, raw).alias("raw"))
+
+
 # --- model replies (T9/T10/T11/Q5) -------------------------------------------
 # The reply carries letters-and-spaces only, so no JSON escaping is needed.
 # doc_id % 4: 0 fenced json, 1 prose around the object, 2 invalid (unquoted), 3 bare.

@@ -8,6 +8,7 @@ from quarry.functions import text as tx
 from quarry.plans import fixtures as fx
 from quarry.plans import sqlbits as sb
 from quarry.plans.registry import register
+from quarry.sources import mime_tree
 from quarry.sources.mime import extract_text
 from quarry.sources.tables import table
 
@@ -37,6 +38,27 @@ def t1_mime_extract(spark, sf):
     return extract_text(m, "raw", "text").select("doc_id", "text")
 
 
+_T1_TREE_SQL = f"""WITH src AS (
+  SELECT doc_id, 'Doc ' || doc_id AS head, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text, coalesce(html, '') AS html
+  FROM documents d LEFT JOIN pages p ON d.doc_id % (SELECT count(*) FROM pages) = p.page_id),
+parts AS (
+  SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 4 ELSE 1 END::BIGINT AS n_parts,
+    CASE WHEN doc_id % 4 = 3 THEN head || ' caf\u00e9' || chr(10) || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')
+         WHEN doc_id % 4 = 2 THEN array_to_string(list_filter(
+           [head || chr(10) || text, {sb.html_text_lines('html')}, 'forwarded ' || doc_id], lambda x: {sb.strip('x')} <> ''), chr(10) || chr(10))
+         ELSE head || chr(10) || text END AS t
+  FROM src)
+SELECT doc_id, 'D\u00fcsseldorf ' || doc_id || 'caf\u00e9 ' || doc_id || ' end' AS subject, n_parts, {sb.strip('t')} AS text FROM parts"""
+
+
+@register("t1_mime_tree", _T1_TREE_SQL)
+def t1_mime_tree(spark, sf):
+    """Encoded and nested messages made from every document: subject, number of leaf parts, text."""
+    m = mime_tree.leaves(fx.mime_tree_messages(spark, sf), F.col("raw"), "parts")
+    m = m.select("doc_id", "raw", mime_tree.header(F.col("raw"), "subject").alias("subject"), F.size("parts").cast("bigint").alias("n_parts"))
+    return extract_text(m, "raw", "text").select("doc_id", "subject", "n_parts", "text")
+
+
 # --------------------------------------------------------------------- T2
 
 

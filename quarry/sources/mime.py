@@ -2,9 +2,9 @@
 
 Plain, HTML and one-level multipart messages in 7bit/8bit are handled with
 Catalyst string expressions (header/body split, content-type routing, boundary
-split with ``transform``).  Only messages with base64 / quoted-printable parts
-or nested multiparts go to an Arrow-batched pandas UDF with the standard ``email`` package;
-the other rows pass it a null, so only those rows pay the Python cost.
+split with ``transform``).  Messages with base64 / quoted-printable parts or nested
+multiparts go through ``mime_tree``, expressions too; only bytes of multi-byte charsets go to
+an Arrow-batched helper, to which all other rows pass a null.
 
 Decisions (see README):
 * line ends are made ``\\n`` first; the lines before the first blank line are a
@@ -19,16 +19,12 @@ Decisions (see README):
 
 from __future__ import annotations
 
-import email
-
-import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions import constants as K
 from quarry.functions import text as tx
+from quarry.sources import mime_tree
 
 HEADER_LINE_RE = r"\A[!-9;-~]+[ \t]*:"
 HEADER_OR_MORE_RE = r"\A(?:[ \t]|[!-9;-~]+[ \t]*:)"
@@ -36,7 +32,7 @@ KNOWN_HEADER_RE = r"(?i)\A(?:" + "|".join(K.KNOWN_HEADERS) + r")[ \t]*:"
 CTYPE_RE = r"(?im)^content-type:[ \t]*([^;\s]+)"
 BOUNDARY_RE = r'(?i)boundary[ \t]*=[ \t]*"?([^";\s]+)"?'
 ENCODED_RE = r"(?im)^content-transfer-encoding:[ \t]*(?:base64|quoted-printable)"
-NESTED_RE = r"(?im)^content-type:[ \t]*multipart/"
+NESTED_RE = r"(?im)^content-type:[ \t]*(?:multipart/|message/rfc822)"
 
 
 def _leaf(ctype: Column, body: Column) -> Column:
@@ -103,77 +99,13 @@ def extract_text(df: DataFrame, raw_col: str = "raw", out_col: str = "extracted"
     x = x.withColumn("_text", tx.py_strip(
         F.when(c("_route"), F.lit("")).when(c("_multi"), multi)
         .otherwise(_leaf(c("_ctype"), c("_body")))))
+    x = mime_tree.decoded(mime_tree.leaves(x, F.when(c("_route"), c("_raw"))))
+    tree = F.array_join(F.filter(F.transform("_leaves", lambda p: _leaf(p["ctype"], p["text"])),
+                                 lambda t: tx.py_strip(t) != F.lit("")), "\n\n")
+    x = x.withColumn("_text", F.when(c("_route"), tx.py_strip(tree)).otherwise(c("_text")))
     out = (F.when(c("_raw") == F.lit(""), F.lit(""))
-           .when(c("_route"), _extract_udf(F.when(c("_route"), c("_raw"))))
            .when(c("_text") == F.lit(""), tx.fallback_body(c("_raw")))
            .otherwise(c("_text")))
     # never null: keys derived from it are then non-nullable, so no
     # ``isnotnull`` filter is inferred (and pushed down) from joins on them
     return x.select(*[c(k) for k in cols], F.coalesce(out, F.lit("")).alias(out_col))
-
-
-# --- per-row helper for encoded / nested messages (runs inside the pandas UDF) ---
-
-_PY_WS = regex.compile(K.py_pattern(K.WS_RUN))
-_PY_STRIP = regex.compile(K.py_pattern(K.STRIP_RE))
-
-
-def _py_html_lines(h: str) -> str:
-    for rx in (K.COMMENT_RE, K.SCRIPT_RE, K.STYLE_RE):
-        h = regex.sub(K.py_pattern(rx), "", h)
-    h = regex.sub(K.ANY_TAG_RE, "\n", h)
-    for ent, ch in K.ENTITIES:
-        h = h.replace(ent, ch)
-    lines = [_PY_STRIP.sub("", x) for x in h.split("\n")]
-    return "\n".join(x for x in lines if x)
-
-
-def _py_fallback(raw: str) -> str:
-    pos = raw.find("\n\n")
-    body = _PY_STRIP.sub("", raw[pos + 2:]) if pos > 0 else raw
-    for rx in (K.COMMENT_RE, K.SCRIPT_RE, K.STYLE_RE):
-        body = regex.sub(K.py_pattern(rx), "", body)
-    body = regex.sub(K.ANY_TAG_RE, " ", body)
-    for ent, ch in K.ENTITIES:
-        body = body.replace(ent, ch)
-    return " ".join(_PY_WS.split(body)).strip(" ")[: K.FALLBACK_BODY_CHARS]
-
-
-def _py_part(part) -> str:
-    ctype = part.get_content_type()
-    if part.is_multipart():
-        texts = [_py_part(p) for p in part.get_payload()]
-        return "\n\n".join(t for t in texts if _PY_STRIP.sub("", t))
-    if ctype not in ("text/plain", "text/html"):
-        return ""
-    payload = part.get_payload(decode=True) or b""
-    charset = part.get_content_charset() or "utf-8"
-    try:
-        s = payload.decode(charset, errors="ignore")
-    except LookupError:
-        s = payload.decode("utf-8", errors="ignore")
-    return s if ctype == "text/plain" else _py_html_lines(s)
-
-
-def extract_text_python(raw: str | None) -> str:
-    if not raw:
-        return ""
-    try:
-        text = _PY_STRIP.sub("", _py_part(email.message_from_string(raw)))
-    except Exception:  # unreadable message -> fallback, as the reference does
-        text = ""
-    return text if text else _py_fallback(raw)
-
-
-def _extract_batch(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda r: None if r is None else extract_text_python(r))
-
-
-# Marked non-deterministic so that filters Catalyst derives above the
-# extraction (validation, inferred join-key null checks) are not pushed
-# below it and made to run it a second time; measured 1.5-3x faster on the
-# intake queries at sf0.1.  The price is that plans containing it are never
-# "the same result", so an exchange over it is not reused: jobs therefore
-# read the extraction's output from a written table (the intake store)
-# rather than branching over it twice.
-_extract_udf = F.pandas_udf(_extract_batch, T.StringType()).asNondeterministic()
