@@ -54,9 +54,9 @@ SELECT doc_id, 'D\u00fcsseldorf ' || doc_id || 'caf\u00e9 ' || doc_id || ' end'
 @register("t1_mime_tree", _T1_TREE_SQL)
 def t1_mime_tree(spark, sf):
     """Encoded and nested messages made from every document: subject, number of leaf parts, text."""
-    m = mime_tree.leaves(fx.mime_tree_messages(spark, sf), F.col("raw"), "parts")
-    m = m.select("doc_id", "raw", mime_tree.header(F.col("raw"), "subject").alias("subject"), F.size("parts").cast("bigint").alias("n_parts"))
-    return extract_text(m, "raw", "text").select("doc_id", "subject", "n_parts", "text")
+    m = fx.mime_tree_messages(spark, sf)
+    m = m.select("doc_id", "raw", mime_tree.header(F.col("raw"), "subject").alias("subject"))
+    return extract_text(m, "raw", "text", "n_parts").select("doc_id", "subject", "n_parts", "text")
 
 
 # --------------------------------------------------------------------- T2

@@ -58,8 +58,8 @@ def _part_leaf(s: Column) -> Column:
     return _leaf(F.when(ctype == F.lit(""), F.lit("text/plain")).otherwise(ctype), body)
 
 
-def extract_text(df: DataFrame, raw_col: str = "raw", out_col: str = "extracted") -> DataFrame:
-    """Add ``out_col`` with the extracted text of ``raw_col``.
+def extract_text(df: DataFrame, raw_col: str = "raw", out_col: str = "extracted", parts_col: str | None = None) -> DataFrame:
+    """Add ``out_col`` with the extracted text of ``raw_col``, and ``parts_col``, if named, with the number of leaf parts.
 
     The work is staged in projections that reference earlier columns, so each
     regular expression runs once per row (Catalyst does not collapse a
@@ -108,4 +108,5 @@ def extract_text(df: DataFrame, raw_col: str = "raw", out_col: str = "extracted"
            .otherwise(c("_text")))
     # never null: keys derived from it are then non-nullable, so no
     # ``isnotnull`` filter is inferred (and pushed down) from joins on them
-    return x.select(*[c(k) for k in cols], F.coalesce(out, F.lit("")).alias(out_col))
+    n_parts = F.when(c("_route"), F.size("_leaves")).when(c("_multi"), F.size("_parts")).otherwise(1).cast("bigint")
+    return x.select(*[c(k) for k in cols], F.coalesce(out, F.lit("")).alias(out_col), *([n_parts.alias(parts_col)] if parts_col else []))

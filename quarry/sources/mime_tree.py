@@ -14,6 +14,8 @@ and a stray last one are dropped and missing padding is added.  Parts without a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +61,16 @@ def from_charset(data: Column, charset: Column) -> Column:
         .when(F.is_valid_utf8(utf8), utf8).otherwise(F.replace(F.make_valid_utf8(utf8), F.lit("\ufffd"), F.lit("")))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def from_base64(body: Column) -> Column:
-    kept = F.regexp_replace(F.regexp_extract(body, r"\A[^=]*+", 0), r"[^A-Za-z0-9+/]++", "")
-    even = F.when(F.length(kept) % 4 == 1, F.substring(kept, F.lit(1), F.length(kept) - 1)).otherwise(kept)
-    return F.unbase64(F.concat(even, F.repeat(F.lit("="), F.pmod(-F.length(even), F.lit(4)).cast("int"))))
+    def padded(kept: Column) -> Column:
+        n = F.length(kept)
+        return F.concat(F.left(kept, n - F.when(n % 4 == 1, 1).otherwise(0)), F.element_at(F.array(*map(F.lit, ("", "", "==", "="))), n % 4 + 1))
+    return F.unbase64(_let(F.regexp_replace(F.substring_index(body, "=", 1), r"[^A-Za-z0-9+/]++", ""), padded))
 
 
 def from_quoted_printable(body: Column) -> Column:
