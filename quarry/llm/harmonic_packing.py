@@ -14,7 +14,8 @@ class's last sequence (fewer than k of each class: at most some 25,000 pieces an
 cut into powers of two, which are not padded.
 
 Tokens: a document splits at ASCII blanks, which the pre-tokeniser always drops, so the library's ids of a text are
-those of its words one after the other (``splits_at_blanks`` tests this on the tokenizer's specification).  The ids of short words are kept in a bounded table per worker.
+those of its words one after the other, and a Latin text's those of its splits (``splits_at_blanks`` tests this on
+the tokenizer's specification).  The ids of short words and splits are kept in bounded tables per worker.
 
 Defined results: null and empty texts have the end token only; a null doc_id is kept; repeated rows are packed as
 many times as they occur; no document, no piece.  Other columns are not read.
@@ -25,12 +26,15 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.session import shared_path
@@ -39,9 +43,13 @@ CAPACITY = 4096
 FINE = 16                       # pieces of up to C / FINE tokens are not cut any more
 LEAST = 16                      # no cut leaves fewer tokens than this
 BIN_PIECES = 100_000
-PART_CHARS = 1 << 20
-KEPT_WORDS = 200_000
+BATCH_ROWS = 1000               # documents sent to a worker at a time
+PART_CHARS = 1 << 18
+KEPT = 200_000                  # entries of each table of a worker
 KEPT_LENGTH = 48
+TOGETHER = 2000                 # splits given to the library as one text
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"   # each a letter, unchanged by NFC, its lower case one letter of these
+OTHERS = re.compile(f"[^\x00-\x7f{LETTERS}]")
 PIECE = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 
 
@@ -78,36 +86,114 @@ def splits_at_blanks(spec: dict) -> bool:
     return plain and drops and whole and not spec.get("truncation") and not spec.get("padding")
 
 
+def latin_splits(spec: dict) -> tuple[re.Pattern, bool]:
+    """For a file that ``splits_at_blanks``: its split as a pattern for texts of ASCII characters and
+    ``LETTERS``, and whether they are lower-cased first."""
+    normal, split = spec["normalizer"] or {}, spec["pre_tokenizer"]
+    lower = any(s["type"] == "Lowercase" for s in normal.get("normalizers", [normal]) if s)
+    split = split["pretokenizers"][0] if split["type"] == "Sequence" else split
+    pattern = split["pattern"]["Regex"].replace("\\p{L}", LETTERS).replace("\\p{N}", "0-9").replace("\\s", " \\t-\\r")
+    return re.compile(pattern), lower
+
+
+def _blanks(text: str) -> str:
+    for c in "\t\n\x0b\x0c\r":
+        text = text.replace(c, " ")
+    return text
+
+
 class Tokens:
-    """Ids of whole texts as bytes (little-endian unsigned 32-bit)."""
+    """Ids of whole texts as bytes (little-endian unsigned 32-bit).
+
+    A text of ASCII characters and ``LETTERS`` is split as the model sees it, other texts at their blanks; the ids of
+    the splits and words met are kept in two bounded tables, and the library encodes what is in neither."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_str(spec)
-        self.by_word = splits_at_blanks(json.loads(spec))
-        self.kept: dict[str, bytes] = {}
+        parsed = json.loads(spec)
+        self.by_word = splits_at_blanks(parsed)
+        self.words: dict[str, bytes] = {}
+        self.splits: dict[str, bytes] = {}
+        if self.by_word:
+            self.pattern, self.lower = latin_splits(parsed)
+            self.added = [t["content"].lower() for t in parsed["added_tokens"]]
+            suffix = parsed["model"].get("end_of_word_suffix") or None
+            size = self.library.get_vocab_size()
+            first, *rest = parsed["pre_tokenizer"].get("pretokenizers", [parsed["pre_tokenizer"]])
+            blank = first | {"pattern": {"String": " "}, "invert": False}
+            bare = {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blank, *rest]},
+                    "added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+            self.bare = Tokenizer.from_str(json.dumps(parsed | bare))  # of normalised splits with blanks between them
+            self.bare.model = self.library.model
+            self.is_end = np.array([bool(suffix) and (self.library.id_to_token(i) or "").endswith(suffix) for i in range(size)])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _encode_splits(self, splits: list[str]) -> Iterator[bytes]:
+        """The ids of splits, many at a time: the last id of each ends a word."""
+        for at in range(0, len(splits), TOGETHER):
+            part = splits[at:at + TOGETHER]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
+            if len(ends) != len(part) or ends[-1] != 4 * len(ids):     # a vocabulary without such ids
+                yield from self._encode(part)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                yield raw[begin:end]
+                begin = end
+
+    def _kept(self, kept: dict[str, bytes], rows: list[list[str]], encode) -> list[bytes]:
+        """The ids of rows of splits or words, from the table where they are in it, which holds ``KEPT`` of them."""
+        out: list[bytes | None] = []
+        for row in rows:
+            try:
+                out.append(b"".join(map(kept.__getitem__, row)))
+            except KeyError:
+                out.append(None)
+        open_rows = [row for row, ids in zip(rows, out) if ids is None]
+        if not open_rows:
+            return out
+        used = set().union(*open_rows)
+        new = list(used.difference(kept))
+        if len(kept) + len(new) > KEPT:
+            kept.clear()
+            new = list(used)
+        kept.update(zip(new, encode(new)))
+        made = iter([b"".join(map(kept.__getitem__, row)) for row in open_rows])
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del kept[w]
+        return [next(made) if ids is None else ids for ids in out]
+
+    def _plain(self, text: str) -> str | None:
+        """The normalised text, if its characters are ASCII or ``LETTERS`` and it holds no added token."""
+        if not text.isascii() and OTHERS.search(text):
+            return None
+        low = text.lower()
+        return None if any(t in low for t in self.added) else low if self.lower else text
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        return self._kept(self.splits, [self.pattern.findall(t) for t in texts], self._encode_splits)
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        plain = [self._plain(w) for w in words]
+        split = iter(self._split([w for w in plain if w is not None]))
+        whole = iter(self._encode([w for w, p in zip(words, plain) if p is None]))
+        return (next(whole if p is None else split) for p in plain)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encode(texts)
-        words = [t.split(" ") for t in texts]
-        new = [w for w in set().union(*words) if w not in self.kept]
-        known = dict(zip(new, self._encode(new))) if new else {}
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            known = self.kept | known
-            self.kept = {}
-        else:
-            self.kept.update((w, i) for w, i in known.items() if len(w) <= KEPT_LENGTH)
-            known = {w: i for w, i in known.items() if len(w) > KEPT_LENGTH}
-        if known:
-            kept = self.kept
-            return [b"".join([kept[w] if w in kept else known[w] for w in row]) for row in words]
-        return [b"".join(map(self.kept.__getitem__, row)) for row in words]
+        plain = [self._plain(t) for t in texts]
+        split = iter(self._split([t for t in plain if t is not None]))
+        rows = [_blanks(t).split(" ") for t, p in zip(texts, plain) if p is None]
+        words = iter(self._kept(self.words, rows, self._encode_words))
+        return [next(words if p is None else split) for p in plain]
 
     def long_text(self, text: str) -> bytes:
         """A long text in portions that end at a blank."""
@@ -148,6 +234,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: i
                     rows.append((doc_id, at, length, piece, zlib.crc32(piece), n))
                     at += length
             yield _batch(rows)
+            pa.default_memory_pool().release_unused()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECE)
 
 
@@ -173,12 +260,25 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
+@contextmanager
+def _batch_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Whole texts go to the workers in smaller batches for the job inside, whose buffers are held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     path = shared_path(spark, "packing")
-    tokenised(docs, tokenizer_path, end_id, capacity).withColumn("piece", F.monotonically_increasing_id()) \
-        .write.option("compression", "zstd").parquet(path)                # numbers and ids are read again: one fixed table
+    with _batch_rows(spark, BATCH_ROWS):                                  # numbers and ids are read again: one fixed table
+        tokenised(docs, tokenizer_path, end_id, capacity).withColumn("piece", F.monotonically_increasing_id()) \
+            .write.option("compression", "zstd").parquet(path)
     pieces = spark.read.parquet(path)
     n_bins = max(1, math.ceil(pieces.count() / BIN_PIECES))
     pieces = pieces.withColumn("k", F.expr(f"{capacity} div length")) \

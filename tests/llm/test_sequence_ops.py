@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from unittest import mock
 
 import duckdb
 import numpy as np
@@ -206,3 +207,19 @@ def test_packing_odd_rows(spark, odd, odd_rows, empty):
 def test_cuts(capacity):
     for n in range(1, 3 * capacity):
         assert sum(harmonic_packing.cuts(n, capacity)) == n and min(harmonic_packing.cuts(n, capacity)) > 0
+
+
+def test_tokens_of_splits_words_and_added_tokens():
+    """Latin texts by splits, others by words, full tables and texts with added tokens: the ids of the library."""
+    with open(WORDS, encoding="utf-8") as f:
+        tokens = harmonic_packing.Tokens(f.read())
+    rng = random.Random(3)
+    parts = ["'", "s", "S", "'ll", "RE", "<|endoftext|>", "<|EndOfText|>", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "À", "ö", "ı", "İ", "ſ",
+             "ß", "×", "é", "Σ", "٣", "½", "1", "!", "_", "</w>", "😀", "\x00", "word", "x" * 60]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)]
+    texts += ["".join(rng.choices(parts[:5] + parts[7:12] + parts[14:17], k=rng.randint(0, 12))) for _ in range(4000)]
+    with mock.patch.object(harmonic_packing, "KEPT", 500):
+        made = [ids for at in range(0, len(texts), 40) for ids in tokens.texts(texts[at:at + 40])]
+    wanted = [e.ids for e in tokens.library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in made] == wanted
+    assert len(tokens.splits) <= 500 and len(tokens.words) <= 500
