@@ -123,11 +123,14 @@ def reply_object(col) -> Column:
 def parse_reply(col, schema: T.StructType = REPLY_SCHEMA) -> Column:
     """The reply's JSON object as a struct, null when there is none or it is
     not strict JSON (a one-element array parse rejects trailing text, a second
-    object and single quotes, which plain ``from_json`` would let through)."""
-    obj = reply_object(col)
-    arr = F.from_json(F.concat(F.lit("["), obj, F.lit("]")), T.ArrayType(schema),
+    object and single quotes, which plain ``from_json`` would let through).
+
+    No object gives ``[]``, an array without elements.  The array is bound by
+    ``filter``, so the text is cleaned and parsed once a row."""
+    arr = F.from_json(F.concat(F.lit("["), reply_object(col), F.lit("]")), T.ArrayType(schema),
                       {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    return F.when((obj != F.lit("")) & (F.size(arr) == 1), arr[0])
+    one = F.filter(F.array(arr), lambda a: F.size(a) == 1)
+    return F.get(F.get(one, F.lit(0)), F.lit(0))
 
 
 # ------------------------------------------------------------------ T10

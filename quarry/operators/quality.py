@@ -114,22 +114,19 @@ def passage_matches(passages: DataFrame, docs: DataFrame, pid: str = "item_id",
 def domain_violations(df: DataFrame, checks: dict[str, tuple]) -> DataFrame:
     """Q5: per checked field, rows checked (non-null) and rows outside the domain.
 
-    ``checks``: field -> tuple of allowed values, or ("range", lo, hi).
+    ``checks``: field -> tuple of allowed values, or ("range", lo, hi).  One
+    aggregate counts all fields, so the input is read and computed once.
     """
-    parts = []
+    counts = []
     for field, allowed in checks.items():
         c = F.col(field)
         if allowed and allowed[0] == "range":
             bad = (c < allowed[1]) | (c > allowed[2])
         else:
             bad = ~c.isin(*allowed)
-        parts.append(df.agg(F.count(c).alias("n_checked"),
-                            F.count(F.when(c.isNotNull() & bad, F.lit(1))).alias("n_violations"))
-                     .select(F.lit(field).alias("field"), "n_checked", "n_violations"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        counts.append(F.struct(F.lit(field).alias("field"), F.count(c).alias("n_checked"),
+                               F.count(F.when(c.isNotNull() & bad, F.lit(1))).alias("n_violations")))
+    return df.agg(F.array(*counts).alias("_counts")).select(F.inline("_counts"))
 
 
 def key_details_long(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
