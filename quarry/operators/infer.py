@@ -50,6 +50,23 @@ def call_with_retry(backend: Backend, prompts: list[str], retries: int = K.MODEL
     return [None] * len(prompts), attempts, f"{type(last).__name__}: {last}"
 
 
+def call_each(backend: Backend, prompts: list[str], retries: int = K.MODEL_RETRIES,
+              backoff: float = K.MODEL_BACKOFF_SECONDS, sleep=time.sleep):
+    """One (reply, attempts, error) per prompt, so that a prompt the backend fails
+    on spoils no other one: the prompts are sent together with retries; if that
+    fails, halves are sent once each and halved again, down to single prompts,
+    which get the retries again.  ``attempts`` counts all requests a prompt was in."""
+    def alone(part: list[str], before: int, tries: int):
+        replies, attempts, error = call_with_retry(backend, part, tries, backoff, sleep)
+        if error is None or len(part) == 1:
+            return [(reply, before + attempts, error) for reply in replies]
+        middle = len(part) // 2
+        halves = (part[:middle], part[middle:])
+        return [row for half in halves
+                for row in alone(half, before + attempts, retries if len(half) == 1 else 0)]
+    return alone(prompts, 0, retries) if prompts else []
+
+
 def call_model(df: DataFrame, backend_factory: Callable[[], Backend], prompt_col: str = "prompt",
                batch_rows: int = 16, retries: int = K.MODEL_RETRIES,
                backoff: float = K.MODEL_BACKOFF_SECONDS,
@@ -57,8 +74,9 @@ def call_model(df: DataFrame, backend_factory: Callable[[], Backend], prompt_col
     """Add ``reply, attempts, error, latency_ms`` by calling the backend.
 
     ``backend_factory`` is called once per partition (connections, model
-    weights).  Requests go in groups of ``batch_rows``; a failing group gets
-    its error in the ``error`` column and the job carries on.
+    weights).  Requests go in groups of ``batch_rows``; a failing group is halved
+    until the failing prompts stand alone (``call_each``): only they get their
+    error in the ``error`` column, and the job carries on.
     """
     out_schema = T.StructType(df.schema.fields + [
         T.StructField("reply", T.StringType()), T.StructField("attempts", T.IntegerType()),
@@ -72,11 +90,11 @@ def call_model(df: DataFrame, backend_factory: Callable[[], Backend], prompt_col
             for s in range(0, len(prompts), batch_rows):
                 chunk = prompts[s:s + batch_rows]
                 t0 = time.perf_counter()
-                r, a, e = call_with_retry(backend, chunk, retries, backoff)
+                rows = call_each(backend, chunk, retries, backoff)
                 ms = round((time.perf_counter() - t0) * 1000 / max(1, len(chunk)), 2)
-                replies += r
-                attempts += [a] * len(chunk)
-                errors += [e] * len(chunk)
+                replies += [r for r, _, _ in rows]
+                attempts += [a for _, a, _ in rows]
+                errors += [e for _, _, e in rows]
                 lat += [ms] * len(chunk)
             yield pdf.assign(reply=replies, attempts=attempts, error=errors, latency_ms=lat)
 

@@ -7,8 +7,9 @@ Two forms:
   ``wholetext`` (one row per file), parsed as ``array<string>`` so a bad
   element does not spoil its neighbours, exploded, and each object parsed
   with the record schema.  A file that is not JSON goes to quarantine.
-* **JSON Lines** (large intake and streams): ``spark.read.json`` /
-  ``readStream.json``, splittable, schema given up front (no inference).
+* **JSON Lines** (large intake): text lines, splittable, parsed with a schema
+  given up front (no inference); a bad line keeps its raw text and a reason.
+  ``parse_record_lines`` takes a stream of lines as well.
 """
 
 from __future__ import annotations
@@ -55,9 +56,24 @@ def read_record_files(spark: SparkSession, path: str,
     return parse_record_files(files, schema)
 
 
+def parse_record_lines(lines: DataFrame, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
+    """``lines(value)`` -> records plus ``_reason`` and ``_line``.
+
+    A line that is not exactly one JSON object (broken, cut off, an array, a bare
+    value, two objects) gives a row with reason ``bad_line`` and its raw text in
+    ``_line``; good records have null in both.  Blank lines are skipped.  The
+    line is parsed as a one-element array, once."""
+    text = py_strip(F.regexp_replace("value", "\\A\ufeff", ""))
+    arr = F.from_json(F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))), T.ArrayType(schema))
+    rec = F.get(F.get(F.filter(F.array(arr), lambda a: F.size(a) == 1), F.lit(0)), F.lit(0))
+    rows = lines.filter(text != F.lit("")).select("value", rec.alias("_rec"))
+    bad = F.col("_rec").isNull()
+    return rows.select("_rec.*", F.when(bad, F.lit("bad_line")).alias("_reason"), F.when(bad, F.col("value")).alias("_line"))
+
+
 def read_record_lines(spark: SparkSession, path: str,
                       schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return parse_record_lines(spark.read.text(path), schema)
 
 
 def write_record_files(df: DataFrame, path: str, n_files: int, order: str = "seq",
