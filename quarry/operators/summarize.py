@@ -8,15 +8,17 @@ I2 (our definition, integer scores so results are exact):
   position asc; summary = top 2, detailed summary = top 5, re-joined with one
   space in position order.
 
-Scale: the documents are hash-partitioned by id **once**; every later
-aggregate and window is keyed by (id, ...) and reuses that partitioning, so
-sentences and tokens never shuffle again.  A document is bounded by the
-500,000-character text cap, so no group is unbounded.
+Scale: the documents are hash-partitioned by id **once**; the distinct sentences
+and their grouping by document reuse that partitioning, and tokens are counted
+inside a document's row, so neither they nor sentences shuffle again.  A document is
+bounded by the 500,000-character text cap, so no group is unbounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
@@ -31,33 +33,69 @@ def sentences(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     return s.groupBy(key, "sentence").agg(F.min("pos").alias("pos"))
 
 
-def score_sentences(sents: DataFrame, key: str = "id") -> DataFrame:
-    """Add the integer score and the rank of each sentence in its document.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _with_runs(values: Column, part: Callable[[Column], Column], use: Callable[[Column], Column]) -> Column:
+    """``use`` of the runs of equal ``part`` in a sorted array: structs of their index from 0 and length."""
+    starts = F.array_compact(F.transform(values, lambda x, i: F.when(~part(x).eqNullSafe(part(F.get(values, i - 1))), i)))
+    return _let(starts, lambda at: _let(F.transform(at, lambda s, j: F.struct(
+        s.alias("at"), (F.coalesce(F.get(at, j + 1), F.size(values)) - s).alias("n"))), use))
+
 
-    One pipeline, no join back to the sentences: tokens are exploded with
-    their index, the sentence text rides only on each sentence's first token
-    row, tf is a window count over (key, token), and the per-sentence
-    aggregate recovers the text with ``max``.
+def _ranked(sents: DataFrame, key: str) -> DataFrame:
+    """(key, _ranked): the scored sentences of a document, best first, as one array.
+
+    Tokens never become rows.  A document's tokens are sorted with the position
+    of their sentence, so a run of equal tokens is as long as its tf.  Sorted
+    again by position, with one entry of weight 0 for each sentence, the run of
+    a sentence holds the tf of its tokens: each entry is ``pos << 32 | tf``.
     """
-    toks = sents.select(key, "pos", "sentence", F.posexplode_outer(
-        F.regexp_extract_all(F.lower("sentence"), F.lit(K.TOKEN_RE), F.lit(1))).alias("_ti", "tok"))
-    toks = toks.withColumn("sentence", F.when(F.coalesce(F.col("_ti"), F.lit(0)) == 0,
-                                              F.col("sentence")))
-    tf = F.when(F.col("tok").isNull(), F.lit(0)).otherwise(
-        F.count(F.lit(1)).over(Window.partitionBy(key, "tok")))
-    per_sent = toks.withColumn("tf", tf).groupBy(key, "pos").agg(
-        F.max("sentence").alias("sentence"), F.sum("tf").alias("tf_sum"),
-        F.count("tok").alias("n_tokens"))
-    score = F.when(F.col("n_tokens") > 0,
-                   F.expr("tf_sum * 1000 div n_tokens")).otherwise(F.lit(0)).cast("bigint")
-    scored = per_sent.select(key, "pos", "sentence", score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos")))
-    return scored.withColumn("rank", rank)
-
-
-def _joined(col_rows: Column, top: int) -> Column:
-    keep = F.filter(col_rows, lambda r: r["rank"] <= F.lit(top))
-    return F.array_join(F.transform(F.array_sort(keep), lambda r: r["sentence"]), " ")
+    docs = sents.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("_all"))
+
+    def pos_of(entry: Column) -> Column:
+        return F.shiftright(entry, 32)
+
+    def tokens(found: Column) -> Column:
+        return F.sort_array(F.flatten(F.transform(found, lambda s: F.transform(
+            F.regexp_extract_all(F.lower(s["sentence"]), F.lit(K.TOKEN_RE), F.lit(1)),
+            lambda t: F.struct(t.alias("tok"), s["pos"].cast("bigint").alias("pos"))))))
+
+    def weights(toks: Column) -> Column:
+        return _with_runs(toks, lambda x: x["tok"], lambda runs: F.flatten(F.transform(runs, lambda r: F.transform(
+            F.slice(toks, r["at"] + 1, r["n"]), lambda x: F.shiftleft(x["pos"], 32) + r["n"]))))
+
+    def score(entries: Column, run: Column) -> Column:
+        n_tokens = run["n"] - 1
+        tf_sum = F.aggregate(F.slice(entries, run["at"] + 1, run["n"]), F.lit(0).cast("bigint"),
+                             lambda acc, e: acc + e.bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.when(n_tokens > 0, F.call_function("div", tf_sum * 1000, n_tokens.cast("bigint"))) \
+            .otherwise(F.lit(0).cast("bigint"))
+
+    def ranked(found: Column) -> Column:
+        # documents with the same key share positions: of such sentences the last one in order stands for all
+        ones = F.filter(found, lambda s, i: ~s["pos"].eqNullSafe(F.get(found, i + 1)["pos"]))
+        entries = F.sort_array(F.concat(_let(tokens(found), weights),
+                                        F.transform(ones, lambda s: F.shiftleft(s["pos"].cast("bigint"), 32))))
+        return _let(ones, lambda one: _let(entries, lambda w: _with_runs(w, pos_of, lambda runs: F.sort_array(F.transform(
+            one, lambda s, i: F.struct((-score(w, F.get(runs, i))).alias("worst"), s["pos"].alias("pos"),
+                                       s["sentence"].alias("sentence")))))))
+
+    return docs.select(key, _let(F.col("_all"), ranked).alias("_ranked"))
+
+
+def score_sentences(sents: DataFrame, key: str = "id") -> DataFrame:
+    """Add the integer score and the rank of each sentence in its document."""
+    rows = _ranked(sents, key).select(key, F.posexplode("_ranked").alias("_i", "_s"))
+    return rows.select(key, F.col("_s.pos").alias("pos"), F.col("_s.sentence").alias("sentence"),
+                       (-F.col("_s.worst")).alias("score"), (F.col("_i") + 1).alias("rank"))
+
+
+def _joined(ranked: Column, top: int) -> Column:
+    keep = F.transform(F.slice(ranked, 1, top), lambda s: F.struct(s["pos"].alias("pos"), s["sentence"].alias("sentence")))
+    return F.array_join(F.transform(F.sort_array(keep), lambda s: s["sentence"]), " ")
 
 
 def extractive_summary(docs: DataFrame, key: str = "id", text: str = "text",
@@ -67,20 +105,16 @@ def extractive_summary(docs: DataFrame, key: str = "id", text: str = "text",
     (plus every input column when ``carry``).
 
     Documents without any sentence get null summaries (T10 routes them).
-    The documents are shuffled once, by key; the sentence and token work and
+    The documents are shuffled once, by key; the sentence work and
     the final join back to the documents all reuse that partitioning.
     """
     base = docs if carry else docs.select(key, text)
     base = base.repartition(num_partitions, key) if num_partitions else base.repartition(key)
-    ranked = score_sentences(sentences(base.select(key, text), key, text), key)
-    keep = F.col("rank") <= F.lit(max(short, long))
-    per_doc = ranked.groupBy(key).agg(
-        F.collect_list(F.when(keep, F.struct("pos", "rank", "sentence"))).alias("_rows"),
-        F.count(F.lit(1)).alias("n_sentences"))
-    out = per_doc.select(
-        key, _joined(F.col("_rows"), short).alias("summary"),
-        _joined(F.col("_rows"), long).alias("detailed_summary"),
-        F.col("n_sentences"))
+    ranked = _ranked(sentences(base.select(key, text), key, text), key)
+    out = ranked.select(
+        key, _joined(F.col("_ranked"), short).alias("summary"),
+        _joined(F.col("_ranked"), long).alias("detailed_summary"),
+        F.size("_ranked").cast("bigint").alias("n_sentences"))
     return (base if carry else base.select(key)).join(out, key, "left")
 
 
