@@ -13,7 +13,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,43 +93,87 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("n_in_window", T.LongType()), T.StructField("allowed", T.BooleanType())])
 
 
+N_SHARDS = 1024
+NO_CLIENT = -1                # shard of the rows without a client
+STATE_ROWS = 50_000           # rows in one value of list state
+
+
 class OrderedProcessor(StatefulProcessor):
-    """Handles a client's rows in (ts, event_id) order, however files and micro-batches cut the log.
+    """Handles each client's rows in (ts, event_id) order, however files and micro-batches cut the log.
 
-    Rows wait in list state until the watermark has passed them: none can come before them any more.
-    A timer at the earliest waiting row brings the client back when no new rows do.  Subclasses hold
-    what is left of the past in one value state and drop it when it can't matter any more."""
+    The key is a shard of clients, so that a call handles many clients at once; clients without an id have
+    a shard of their own.  Rows wait in list state, many in one value, until the watermark has passed them: none can
+    come before them any more.  One timer at the earliest waiting row brings the shard back: only then are its waiting
+    rows read.  Subclasses say what is left of a client's past; it is dropped when it can't matter any more."""
 
     OUT: T.StructType
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts_us LONG, event_id LONG, failed BOOLEAN")
+        self.waiting = handle.getListState("waiting", "rows BINARY")      # client, ts_us, event_id, failed
+        self.past = handle.getListState("past", "rows BINARY")            # client, what the subclass keeps
+        self.timer = handle.getValueState("timer", "ms LONG")
 
     def handleInputRows(self, key, rows, timerValues):
         for frame in rows:
-            self.waiting.appendList(list(zip(frame["ts_us"].astype("int64").tolist(), frame["event_id"].astype("int64").tolist(),
-                                             frame["failed"].astype(bool).tolist())))
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+            if len(frame):
+                self.waiting.appendList(self._packed(np.column_stack([
+                    frame["client"].astype("int64"), frame["ts_us"].astype("int64"), frame["event_id"].astype("int64"), frame["failed"].astype(bool)])))
+                self._wake_at(int(frame["ts_us"].min()))
+        return iter([])
+
+    def _wake_at(self, ts_us: int) -> None:
+        ms = -(-ts_us // 1000)
+        if self.timer.exists():
+            due = self.timer.get()[0]
+            if due <= ms:
+                return
+            self.handle.deleteTimer(due)
+        self.timer.update((ms,))
+        self.handle.registerTimer(ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key, watermark_ms: int):
-        held = sorted(tuple(r) for r in self.waiting.get())
-        ready = [r for r in held if r[0] <= watermark_ms * 1000]
-        rest = held[len(ready):]
-        if ready:
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-            yield pd.DataFrame([(key[0], *r) for r in self.decide(ready, watermark_ms * 1000)], columns=self.OUT.names)
-        if rest:
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        self.timer.clear()
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        held = self._rows(self.waiting)
+        ready, rest = held[held[:, 1] <= passed_us], held[held[:, 1] > passed_us]
+        if len(ready):
+            self._put(self.waiting, rest)
+            past = {r[0]: tuple(r[1:]) for r in self._rows(self.past).tolist()}
+            out = []
+            ready = ready[np.lexsort(ready.T[::-1])]
+            for client, group in groupby(ready.tolist(), key=lambda r: r[0]):
+                decided, past[client] = self.decide([(t, event, bool(failed)) for _, t, event, failed in group], past.get(client))
+                shown = None if key[0] == NO_CLIENT else client
+                out += [(shown, *r) for r in decided]
+            self._put(self.past, np.array([(client, *p) for client, p in past.items() if self.matters(p, passed_us)], "int64"))
+            yield pd.DataFrame(out, columns=self.OUT.names)
+        if len(rest):
+            self._wake_at(int(rest[:, 1].min()))
+
+    @staticmethod
+    def _packed(rows: np.ndarray) -> list[tuple[bytes]]:
+        """Rows of integers as values of list state: the number of columns, then the rows."""
+        return [(np.append(rows.shape[1], rows[i:i + STATE_ROWS]).astype("int64").tobytes(),)
+                for i in range(0, len(rows), STATE_ROWS)]
+
+    @staticmethod
+    def _rows(state) -> np.ndarray:
+        parts = [np.frombuffer(value, "int64") for (value,) in state.get()]
+        return np.concatenate([p[1:].reshape(-1, p[0]) for p in parts] or [np.empty((0, 4), "int64")])
+
+    def _put(self, state, rows: np.ndarray) -> None:
+        if len(rows):
+            state.put(self._packed(rows))
+        else:
+            state.clear()
 
-    def decide(self, rows: list[tuple[int, int, bool]], passed_us: int) -> list[tuple]:
-        """Output rows without the client for rows in order; ``passed_us``: nothing earlier will come."""
+    def decide(self, rows: list[tuple[int, int, bool]], past: tuple | None) -> tuple[list[tuple], tuple]:
+        """Output rows without the client for a client's rows in order, and its past (integers) after them."""
+        raise NotImplementedError
+
+    def matters(self, past: tuple, passed_us: int) -> bool:
+        """False if that past changes nothing for rows after ``passed_us``."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -135,7 +181,7 @@ class OrderedProcessor(StatefulProcessor):
 
 
 class RateLimitProcessor(OrderedProcessor):
-    """R1 per client: state = (window start, requests counted in it), dropped once the window is over."""
+    """R1 per client: past = (window start, requests counted in it), dropped once the window is over."""
 
     OUT = DECISION_SCHEMA
 
@@ -143,21 +189,16 @@ class RateLimitProcessor(OrderedProcessor):
         self.w = int(window_seconds * 1_000_000)
         self.limit = limit
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("window", "start LONG, cnt LONG")
-
-    def decide(self, rows, passed_us):
-        start, cnt = self.state.get() if self.state.exists() else (None, 0)
+    def decide(self, rows, past):
+        start, cnt = past or (None, 0)
         out = []
         for t, event, _failed in rows:
             start, cnt = (t, 1) if start is None or t >= start + self.w else (start, cnt + 1)
             out.append((event, t, start, cnt, cnt <= self.limit))
-        if passed_us >= start + self.w:
-            self.state.clear()
-        else:
-            self.state.update((start, cnt))
-        return out
+        return out, (start, cnt)
+
+    def matters(self, past, passed_us):
+        return passed_us < past[0] + self.w
 
 
 CALL_SCHEMA = T.StructType([
@@ -167,7 +208,7 @@ CALL_SCHEMA = T.StructType([
 
 
 class BreakerProcessor(OrderedProcessor):
-    """R2 per client: state = (consecutive failures, last failure time, OPEN?), kept while there are failures."""
+    """R2 per client: past = (consecutive failures, last failure time, OPEN?), kept while there are failures."""
 
     OUT = CALL_SCHEMA
 
@@ -176,12 +217,8 @@ class BreakerProcessor(OrderedProcessor):
         self.threshold = threshold
         self.t = int(timeout_seconds * 1_000_000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("breaker", "failures LONG, last LONG, is_open BOOLEAN")
-
-    def decide(self, rows, passed_us):
-        f, last, is_open = self.state.get() if self.state.exists() else (0, 0, False)
+    def decide(self, rows, past):
+        f, last, is_open = past or (0, 0, False)
         out = []
         for t, event, failed in rows:
             if is_open and not (t - last > self.t):
@@ -193,11 +230,10 @@ class BreakerProcessor(OrderedProcessor):
                 is_open = f >= self.threshold
                 outcome = "opened" if is_open else "accepted"
             out.append((event, t, failed, outcome))
-        if f:
-            self.state.update((f, last, is_open))
-        else:
-            self.state.clear()
-        return out
+        return out, (f, last, is_open)
+
+    def matters(self, past, passed_us):
+        return past[0] > 0
 
 
 def log_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -206,10 +242,13 @@ def log_stream(spark: SparkSession, path: str, schema: T.StructType,
             .option("recursiveFileLookup", "true").parquet(path))
 
 
-def stateful_decisions(log: DataFrame, processor: OrderedProcessor, delay: str) -> DataFrame:
-    """Decisions per client; ``delay``: how much later than the newest row a row may still come."""
+def stateful_decisions(log: DataFrame, processor: OrderedProcessor, delay: str, n_shards: int = N_SHARDS) -> DataFrame:
+    """Decisions per client; ``delay``: how much later than the newest row a row may still come.
+    Calls into Python cost per shard and micro-batch; the waiting rows of one shard are held in memory."""
     timed = log.withColumn("_ts", F.timestamp_micros("ts_us")).withWatermark("_ts", delay)
-    return timed.groupBy("client").transformWithStateInPandas(
+    shard = F.when(F.col("client").isNull(), F.lit(NO_CLIENT)).otherwise(F.pmod(F.xxhash64("client"), F.lit(n_shards)))
+    known = F.coalesce("client", F.lit(0).cast("bigint"))          # a null would make the column's batch doubles in pandas
+    return timed.withColumn("_shard", shard).withColumn("client", known).groupBy("_shard").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.OUT, outputMode="Append", timeMode="EventTime")
 
 
