@@ -25,6 +25,7 @@ HEADERS_RE = r"\A((?:[!-9;-~]*:[^\n]*\n|[ \t][^\n]*\n)*+)"
 FORWARD_RE = r"(?i)\A(?:(?:(?!content-type:)[^\n]+\n)*+content-type:[ \t]*message/rfc822[^\n]*\n(?:[^\n]+\n)*+\n)++"
 NAMED_RE = r"(?i)boundary[ \t]*=[ \t]*(?:\"[^\"\\\n]+\"|[^\";\s\\]+)"
 WORD_RE = r"=\?[^?\s]+\?[bBqQ]\?[^?\n]*\?="
+BYTE_RE = "=[0-9A-Fa-f]{2}"
 UTF8 = ("utf-8", "utf8", "us-ascii-utf8", "")
 HIGH = bytes(range(128, 256))
 _SINGLE_NAMES = ["us-ascii", "ascii", "latin1", "latin-1", "koi8-r", "koi8-u", "macintosh",
@@ -73,14 +74,16 @@ def from_base64(body: Column) -> Column:
     return F.unbase64(_let(F.regexp_replace(F.substring_index(body, "=", 1), r"[^A-Za-z0-9+/]++", ""), padded))
 
 
-def from_quoted_printable(body: Column) -> Column:
-    """Every ``=XX`` a byte; soft line ends go, also with blanks after the equals sign; one without two hex digits stays."""
+def quoted_printable_runs(body: Column) -> Column:
+    """The body cut into runs of ``=XX`` and the text between them; soft line ends go, also with blanks after the equals sign."""
     plain = F.regexp_replace(body, r"=[ \t]*+(?:\n|\z)", "")
+    return F.regexp_extract_all(plain, F.lit(rf"(?:{BYTE_RE})++|[^=]++|="), F.lit(0))
+
 
-    def piece(p: Column, i: Column) -> Column:
-        return F.when(i == 0, F.hex(p)).when(F.regexp_like(p, F.lit(r"\A[0-9A-Fa-f]{2}")), F.concat(
-            F.left(p, F.lit(2)), F.hex(F.substring(p, F.lit(3), F.length(p))))).otherwise(F.concat(F.lit("3D"), F.hex(p)))
-    return F.unhex(F.array_join(F.transform(F.split(plain, "="), piece), ""))
+def from_quoted_printable(body: Column) -> Column:
+    """Every ``=XX`` a byte, a run of them at once; an equals sign without two hex digits stays."""
+    return F.unhex(F.array_join(F.transform(quoted_printable_runs(body), lambda run: F.when(
+        F.regexp_like(run, F.lit(rf"\A{BYTE_RE}")), F.replace(run, F.lit("="), F.lit(""))).otherwise(F.hex(run))), ""))
 
 
 def decode_words(value: Column) -> Column:
