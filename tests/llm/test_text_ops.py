@@ -68,6 +68,30 @@ def test_bpe_small_tables(tiktoken_encoding, monkeypatch):
         assert encoder.encode(t) == as_bytes(tiktoken_encoding.encode_ordinary(t))
 
 
+def test_bpe_texts_together(coder, tiktoken_encoding, monkeypatch):
+    """Texts taken together, in small groups and with tables that start afresh, give what each gives alone."""
+    for name, value in (("TOGETHER", 100), ("PORTION", 300), ("KEPT_CHUNKS", 30), ("KEPT_STATES", 500), ("KEPT_PAIRS", 200), ("SLOTS", 10)):
+        monkeypatch.setattr(bpe_fst, name, value)
+    encoder = bpe_fst.Encoder(bpe_fst.read_ranks(BYTE_RANKS), PATTERN)
+    texts = [*odd_texts(200, 150, 4), "", "don't O'Brien's.' naïve, straße!! ab'c", "verüö. cióncociónquejamente%%% " * 40, "漢字" * 300]
+    assert encoder.encode_all(texts) == [as_bytes(tiktoken_encoding.encode_ordinary(t)) for t in texts]
+
+
+def test_bpe_one_long_match_keeps_tables_bounded(tiktoken_encoding, monkeypatch):
+    """States are bounded within a match too, and its ids are those of the library."""
+    monkeypatch.setattr(bpe_fst, "KEPT_STATES", 500)
+    encoder = bpe_fst.Encoder(bpe_fst.read_ranks(BYTE_RANKS), PATTERN)
+    most, number = [0], encoder.machine._number
+
+    def watched(*key):
+        most[0] = max(most[0], len(encoder.machine.states))
+        return number(*key)
+    encoder.machine._number = watched
+    text = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyzäß", k=40_000))
+    assert encoder.encode(text) == as_bytes(tiktoken_encoding.encode_ordinary(text))
+    assert most[0] <= 500 + bpe_fst.STRETCH + 1
+
+
 def test_may_follow_is_what_the_merges_give(coder):
     machine, rnd = coder[0].machine, random.Random(3)
     tokens = sorted(machine.bytes_of)
