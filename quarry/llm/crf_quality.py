@@ -32,7 +32,7 @@ MIN_SHARE = 0.5
 TRAIN_LINES = 64              # lines of a training sequence; longer documents give several
 SYMBOLS = b"#*$%&|<>"
 _THREE = 0x8CB92BA72F3D8DD7 | 1
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _CLASS = {name: np.zeros(256, dtype=bool) for name in ("space", "symbol", "upper", "lower", "digit", "bar", "mark", "end", "start")}
 _CLASS["space"][[0x20, 9, 10, 11, 12, 13]] = True

@@ -29,7 +29,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.session import shared_path
+from quarry.session import batch_rows, shared_path
 
 CAPACITY = 4096
 FINE = 16                       # pieces of up to C / FINE tokens are not cut any more
@@ -260,23 +259,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-@contextmanager
-def _batch_rows(spark: SparkSession, most: int) -> Iterator[None]:
-    """Whole texts go to the workers in smaller batches for the job inside, whose buffers are held on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     path = shared_path(spark, "packing")
-    with _batch_rows(spark, BATCH_ROWS):                                  # numbers and ids are read again: one fixed table
+    with batch_rows(spark, BATCH_ROWS):                                  # numbers and ids are read again: one fixed table
         tokenised(docs, tokenizer_path, end_id, capacity).withColumn("piece", F.monotonically_increasing_id()) \
             .write.option("compression", "zstd").parquet(path)
     pieces = spark.read.parquet(path)

@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
 from quarry.llm.textvec import U64, buffers, inverse, mix, parts, powers, slices
-from quarry.session import cut_lineage
+from quarry.session import batch_rows, cut_lineage
 
 MIN_WORDS = 4
 SIMILARITY = 0.8
 MOST_BITS = 3                                   # of difference between linked SimHashes
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))      # (shift, width): MOST_BITS + 2 of them
 BROADCAST_BYTES = 16 << 20
+BATCH_ROWS = 1000                               # texts of an Arrow batch, held on both sides
 BLOCK_LINES = 2048                              # of a group, compared in one task
 _LINE = 0xB5297A4D3F84D5B5 | 1
 OCCURRENCE = "doc_id long, text_hash long, line int, node long, sim long, fuzzy boolean"
@@ -259,7 +260,8 @@ def _same_doc() -> Column:
 def removals(texts: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
              exact_words: int | None = None) -> DataFrame:
     """(d, h, removed): line numbers to remove of each text (doc_id d, text hash h) that loses any."""
-    seen = cut_lineage(texts.mapInArrow(_occurrences(min_words, min_words if exact_words is None else exact_words), OCCURRENCE))
+    with batch_rows(texts.sparkSession, BATCH_ROWS):
+        seen = cut_lineage(texts.mapInArrow(_occurrences(min_words, min_words if exact_words is None else exact_words), OCCURRENCE))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line")
     nodes = cut_lineage(seen.groupBy("node").agg(F.max("sim").alias("sim"), F.min(place).alias("place"),
                                                  F.count(F.lit(1)).alias("n"), F.max("fuzzy").alias("fuzzy")))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SEGMENT = 1 << 18          # bytes hashed at once: keeps the temporaries in cache
-SLICE_BYTES = 2 << 20      # documents taken together
+SLICE_BYTES = 1 << 19      # documents taken together
 PART_ROWS = 1000           # rows of a batch whose results are sent on together
 
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -13,6 +13,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +98,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Whole texts go to the workers in smaller batches for the job inside, whose buffers are held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
@@ -116,5 +130,5 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(st.getPath().getName() for st in fs.listStatus(jpath) if st.isDirectory())
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "shared_path", "cut_lineage",
+__all__ = ["get_spark", "ensure_checkpoint_dir", "shared_path", "cut_lineage", "batch_rows",
            "path_exists", "list_dirs", "local_path"]

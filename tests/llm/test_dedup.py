@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -287,5 +288,19 @@ def test_levenshtein():
         assert line_dedup.levenshtein(a, b) == levenshtein(a, b)
 
 
+def test_op4_lines_of_many_texts_take_little_memory():
+    """Working arrays are of a slice's size, whatever the batch holds."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(1, 7))) for _ in range(3000)]
+    texts = pa.array(["\n".join(" ".join(rnd.choices(words, k=12)) for _ in range(60)) for _ in range(1500)])
+    tracemalloc.start()
+    try:
+        n = sum(len(part[0]) for part in line_dedup.lines_of(texts, 4))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 1500 * 60 and peak < 60 << 20
+
+
 def test_op4_empty_table(empty):
     assert line_dedup.dedup_lines(empty).collect() == []
