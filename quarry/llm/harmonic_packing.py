@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.worker import once
 from quarry.session import batch_rows, shared_path
 
 CAPACITY = 4096
@@ -207,7 +208,9 @@ class Tokens:
         return b"".join(out)
 
 
-_made: dict[int, Tokens] = {}
+def _tokens(spec: str) -> Tokens:
+    """One per Python worker and vocabulary."""
+    return once("harmonic_packing", hash(spec), lambda: Tokens(spec))
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
@@ -217,11 +220,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: i
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(spec.value)
-        if key not in _made:
-            _made.clear()
-            _made[key] = Tokens(spec.value)
-        tokens = _made[key]
+        tokens = _tokens(spec.value)
         for doc_ids, texts in _parts(batches):
             ids = tokens.texts(texts) if len(texts) > 1 else [tokens.long_text(texts[0])]
             rows = []

@@ -9,6 +9,7 @@ from unittest import mock
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -223,3 +224,34 @@ def test_tokens_of_splits_words_and_added_tokens():
     wanted = [e.ids for e in tokens.library.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in made] == wanted
     assert len(tokens.splits) <= 500 and len(tokens.words) <= 500
+
+
+def test_packing_keeps_one_tokenizer_a_worker(spark, sf):
+    """Later tasks and queries find the worker's tokenizer; none is made again or left beside it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(64).repartition(16)
+
+    def alive(batches):
+        import gc
+        import os
+        import time
+        time.sleep(0.3)
+        gc.disable()
+        made = [id(o) for o in gc.get_objects() if type(o).__name__ == "Tokens"]
+        gc.enable()
+        for _ in batches:
+            yield pa.record_batch([pa.array([os.getpid()]), pa.array([made], pa.list_(pa.int64()))], names=["pid", "made"])
+
+    def seen():
+        found = defaultdict(set)
+        for r in spark.range(0, 16, 1, 16).mapInArrow(alive, "pid long, made array<long>").collect():
+            found[r.pid].add(tuple(sorted(r.made)))
+        return found
+
+    harmonic_packing.tokenised(docs, WORDS).agg(F.sum("length")).collect()
+    before = seen()
+    harmonic_packing.tokenised(docs, WORDS).agg(F.sum("length")).collect()
+    after = seen()
+    assert any(made != {()} for made in before.values())
+    for pid, made in after.items():
+        assert len(made) == 1 and len(*made) <= 1
+        assert before.get(pid, {()}) in ({()}, made)
