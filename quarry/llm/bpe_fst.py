@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.llm.worker import once
+
 PORTION = 1 << 20            # characters of a text handled at once
 CHUNK_KEPT = 48              # longest chunk whose ids are kept
 KEPT_CHUNKS = 100_000        # and as many older ones
@@ -454,15 +456,9 @@ class Decoder:
         return b"".join(self.stream(np.frombuffer(raw, dtype="<u4")))
 
 
-_made: dict[tuple, object] = {}
-
-
 def _once(kind, key: int, *args):
     """One encoder and one decoder per Python worker and vocabulary."""
-    if (kind, key) not in _made:
-        _made.clear() if len(_made) > 8 else None
-        _made[kind, key] = kind(*args)
-    return _made[kind, key]
+    return once("bpe_fst", (kind, key), lambda: kind(*args))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components of an edge table, entirely in Spark.
 
 Each partition first contracts its own edges (union-find over that partition's rows only, in
-bounded batches), then large-star and small-star steps alternate until the edges stay the same.
+bounded batches), apart from the tasks that made the edges, which may hold a Python worker of their own; then large-star and small-star steps alternate until the edges stay the same.
 Every step is a partial aggregate and a join that adaptive execution can split; each round is
 cut with a checkpoint in the shared folder, so a lost executor repeats one round at most.
 """
@@ -51,7 +51,8 @@ class Forest:
                                 pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer edges that connect the same nodes."""
     forest = Forest()
     for batch in batches:
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -78,8 +79,8 @@ def _small_star(e: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges``: columns a, b (long, not null; loops and repeats allowed).  Returns (node, component)
     for every node of an edge between two different nodes; component is the smallest node reachable."""
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    e = cut_lineage(e.mapInArrow(_contract, EDGE).distinct())
+    e = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
+    e = cut_lineage(e.mapInArrow(contract, EDGE).distinct())
     before = None
     while True:
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.components import connected_components
+from quarry.llm.components import connected_components, contract
 from quarry.llm.textvec import U64, buffers, inverse, mix, parts, powers, slices
 from quarry.session import batch_rows, cut_lineage
 
@@ -153,7 +153,7 @@ def near_groups(nodes: DataFrame) -> DataFrame:
     """(sim, grp) of the distinct SimHashes that have another one within MOST_BITS bits, connected."""
     sims = nodes.select("sim").distinct()
     keyed = sims.select(F.explode(block_keys(F.col("sim"))).alias("key"), "sim")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_near, "a long, b long")
+    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: contract(_near(batches)), "a long, b long")
     return connected_components(edges).select(F.col("node").alias("sim"), F.col("component").alias("grp"))
 
 

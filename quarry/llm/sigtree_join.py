@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import blocks as B
 from quarry.llm.blocks import shuffle_partitions
-from quarry.llm.components import EDGE, Forest, connected_components
+from quarry.llm.components import EDGE, Forest, connected_components, contract
 from quarry.llm.textvec import PART_ROWS, U64, mix, one_array, parts, rolling, salted, slices
 from quarry.session import cut_lineage
 
@@ -321,7 +321,7 @@ def _labelled(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
         routes = texts.select("text").mapInArrow(_routes_of(words, p, q), "key long, sid long")
     else:
         routes = _rare_routes(texts.select("doc_id", "text"), words, p, q)
-    chains = routes.repartition("key").sortWithinPartitions("key").mapInArrow(_chains, EDGE)
+    chains = routes.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: contract(_chains(batches)), EDGE)
     groups = cut_lineage(connected_components(chains))
     links = connected_components(_verified(texts, sets, groups, words, p, q))
     links = cut_lineage(links.select(F.col("node").alias("sid"), "component"))

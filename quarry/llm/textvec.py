@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quarry.llm.worker import drop
+
 U64 = np.uint64
 SEGMENT = 1 << 18          # bytes hashed at once: keeps the temporaries in cache
 SLICE_BYTES = 1 << 19      # documents taken together
@@ -140,7 +142,9 @@ def rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller pieces, so that results are small; freed buffers go back to the system."""
+    """The batches in smaller pieces, so that results are small; freed buffers go back to the system, and what another
+    operator keeps in the worker goes."""
+    drop()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

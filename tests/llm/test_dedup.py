@@ -12,9 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import line_dedup, sigtree_join, substring_dedup
-from quarry.llm.components import connected_components
+from quarry.llm import components, line_dedup, sigtree_join, substring_dedup, textvec, worker
+from quarry.llm.components import EDGE, connected_components
 from quarry.llm.queries import QUERIES
+from quarry.session import cut_lineage
 
 
 def words(text):
@@ -170,6 +171,35 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_do_not_share_the_tasks_that_make_the_edges(spark, monkeypatch):
+    """Two Python steps in one task hold two workers a core, which stay."""
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(components, "cut_lineage", cut)
+    edges = spark.createDataFrame([(1, 2), (3, 2), (5, 4)], EDGE).mapInArrow(lambda batches: batches, EDGE)
+    assert sorted(map(tuple, components.connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert sum("InArrow" in p for p in plans) == 2 and max(p.count("InArrow") for p in plans) == 1
+
+
+def test_other_operators_tables_leave_the_worker():
+    made = []
+    make = lambda: made.append(0) or object()
+    worker.drop()
+    first = worker.once("bpe_fst", "encoder", make)
+    worker.once("bpe_fst", "decoder", make)
+    assert worker.once("bpe_fst", "encoder", make) is first and len(made) == 2
+    assert len(list(textvec.parts(iter([pa.record_batch([pa.array(["x"])], names=["text"])])))) == 1
+    assert worker.once("bpe_fst", "encoder", make) is not first
+    worker.once("harmonic_packing", 1, make)
+    worker.once("bpe_fst", "decoder", make)
+    assert len(made) == 5
+    worker.drop()
+
+
 # ---------------------------------------------------------------- op4
 
 def levenshtein(a, b):
