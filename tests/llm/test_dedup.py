@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import components, line_dedup, sigtree_join, substring_dedup, textvec, worker
+from quarry.llm import components as star_steps
+from quarry.llm import line_dedup, sigtree_join, substring_dedup, textvec, worker
 from quarry.llm.components import EDGE, connected_components
 from quarry.llm.queries import QUERIES
 from quarry.session import cut_lineage
@@ -179,9 +180,9 @@ def test_components_do_not_share_the_tasks_that_make_the_edges(spark, monkeypatc
         plans.append(df._jdf.queryExecution().optimizedPlan().toString())
         return cut_lineage(df)
 
-    monkeypatch.setattr(components, "cut_lineage", cut)
+    monkeypatch.setattr(star_steps, "cut_lineage", cut)
     edges = spark.createDataFrame([(1, 2), (3, 2), (5, 4)], EDGE).mapInArrow(lambda batches: batches, EDGE)
-    assert sorted(map(tuple, components.connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert sorted(map(tuple, connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
     assert sum("InArrow" in p for p in plans) == 2 and max(p.count("InArrow") for p in plans) == 1
 
 
