@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm.worker import once
+from quarry.llm.worker import give_back, once
 
 PORTION = 1 << 20            # characters of a text handled at once
 CHUNK_KEPT = 48              # longest chunk whose ids are kept
@@ -482,6 +482,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False
                 if decoder:
                     cols.append(pa.array([decoder.decode(i) for i in ids], pa.binary()))
                 yield pa.record_batch(part.columns + cols, names=part.schema.names + [f.name for f in more])
+            pa.default_memory_pool().release_unused()
+        give_back()
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
@@ -498,6 +500,8 @@ def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
             for part in _portions(batch):
                 out = pa.array([decoder.decode(i.as_py() or b"") for i in part.column("ids")], pa.binary())
                 yield pa.record_batch([*part.columns, out], names=[*part.schema.names, "decoded"])
+            pa.default_memory_pool().release_unused()
+        give_back()
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 

@@ -37,7 +37,7 @@ from quarry.llm import blocks as B
 from quarry.llm.blocks import shuffle_partitions
 from quarry.llm.components import EDGE, Forest, connected_components, contract
 from quarry.llm.textvec import PART_ROWS, U64, mix, one_array, parts, rolling, salted, slices
-from quarry.session import cut_lineage
+from quarry.session import batch_rows, cut_lineage
 
 _SHINGLE = 0x9FB21C651E98DF25 | 1
 SEGMENT_TOKENS = 16           # least (p + q) / (q - p) for segments: below, they would hold too few tokens
@@ -47,6 +47,8 @@ BLOCK_SETS = 1024             # sets of one block of a candidate group,
 BLOCK_BYTES = 4 << 20         # and their token bytes, about
 CELL_BYTES = 8 << 20          # token bytes gathered by one verifying call, about
 BROADCAST_BYTES = 16 << 20
+RARE_BLOCK_BYTES = 4 << 20    # of the texts whose tokens a task counts at once: these take some 15 times as much
+BATCH_ROWS = 1000             # texts of an Arrow batch, held on both sides
 ROW_BYTES = 64                # of a broadcast row, about
 
 
@@ -159,7 +161,7 @@ def _rare_routes(texts: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """(key, sid): routing by rare tokens.  Linked sets share one of their ``|A| - ceil(p|A|/q) + 1`` rarest tokens;
     how many documents have a token is counted exactly over buckets of the hash space (:mod:`quarry.llm.blocks`)."""
     n_bytes = B.text_bytes(texts)
-    dealt = B.deal(texts, B.n_blocks_for(texts, n_bytes))
+    dealt = B.deal(texts, B.n_blocks_for(texts, n_bytes, RARE_BLOCK_BYTES))
     n_buckets = B.n_buckets_for(texts, n_bytes // 5)
 
     def distinct_sets(table: pa.Table) -> dict[int, np.ndarray]:
@@ -314,8 +316,9 @@ def _tokens_of(n: int):
 def _labelled(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """(doc_id, text_hash, sid, n_shingles, label): label is the same for all texts of a component."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    sets = cut_lineage(texts.mapInArrow(_sets_of(words, p, q),
-                                        "doc_id long, text_hash long, sid long, n_shingles long, size_class long"))
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        sets = cut_lineage(texts.mapInArrow(_sets_of(words, p, q),
+                                            "doc_id long, text_hash long, sid long, n_shingles long, size_class long"))
 
     if p + q >= SEGMENT_TOKENS * (q - p):        # a choice by the threshold alone
         routes = texts.select("text").mapInArrow(_routes_of(words, p, q), "key long, sid long")

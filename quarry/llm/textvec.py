@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quarry.llm.worker import drop
+from quarry.llm.worker import drop, give_back
 
 U64 = np.uint64
 SEGMENT = 1 << 18          # bytes hashed at once: keeps the temporaries in cache
@@ -149,6 +149,7 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def one_array(column) -> pa.Array:

@@ -7,8 +7,12 @@ which are sent by name.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 MOST = 8
 _kept: dict[tuple, object] = {}
 
@@ -17,11 +21,22 @@ def once(operator: str, key: object, make: Callable[[], object]) -> object:
     """What ``make`` returned for this operator and key in an earlier task, or returns now; other operators' go."""
     if (operator, key) not in _kept:
         if len(_kept) >= MOST or any(o != operator for o, _ in _kept):
-            _kept.clear()
+            drop()
         _kept[operator, key] = make()
     return _kept[operator, key]
 
 
 def drop() -> None:
     """For operators that keep nothing: another one's tables do not stand beside their work."""
-    _kept.clear()
+    if _kept:
+        _kept.clear()
+        gc.collect()                             # tables may refer to each other
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system: an executor's workers and its heap share one limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)            # of the GNU C library
+    if trim:
+        trim(0)

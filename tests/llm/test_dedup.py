@@ -1,10 +1,13 @@
 """op4, op5, op6 against brute force."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import random
 import tracemalloc
+import weakref
+from unittest import mock
 
 import numpy as np
 import pyarrow as pa
@@ -335,3 +338,35 @@ def test_op4_lines_of_many_texts_take_little_memory():
 
 def test_op4_empty_table(empty):
     assert line_dedup.dedup_lines(empty).collect() == []
+
+
+def test_tables_of_another_operator_leave_the_worker_at_once():
+    """Tables that refer to each other go without waiting for the collector, and freed memory is given back."""
+    class Table:
+        def __init__(self):
+            self.own = self
+
+    with mock.patch.object(worker, "_kept", {}), mock.patch.object(worker, "give_back") as given:
+        kept = weakref.ref(worker.once("one", 1, Table))
+        assert worker.once("one", 1, Table) is kept()
+        gc.disable()
+        try:
+            worker.drop()
+            assert kept() is None and given.called
+        finally:
+            gc.enable()
+
+
+def test_rare_token_blocks_are_small(spark):
+    """Sets of tokens counted at once come from 4 MB of texts: 80 MB make 20 blocks or more."""
+    texts = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        with mock.patch.object(sigtree_join.B, "text_bytes", return_value=80 << 20), \
+                mock.patch.object(sigtree_join.B, "deal", side_effect=lambda docs, n, *_: (_ for _ in ()).throw(ValueError(n))):
+            with pytest.raises(ValueError) as got:
+                sigtree_join._rare_routes(texts, 5, 80, 100)
+        assert got.value.args[0] >= 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
