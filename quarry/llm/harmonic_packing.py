@@ -14,8 +14,9 @@ class's last sequence (fewer than k of each class: at most some 25,000 pieces an
 cut into powers of two, which are not padded.
 
 Tokens: a document splits at ASCII blanks, which the pre-tokeniser always drops, so the library's ids of a text are
-those of its words one after the other, and a Latin text's those of its splits (``splits_at_blanks`` tests this on
-the tokenizer's specification).  The ids of short words and splits are kept in bounded tables per worker.
+those of its words one after the other, and a Latin text's those of its splits (``splits_at_blanks`` and
+``latin_splits`` test this on the tokenizer's specification).  The ids of short words and splits are kept in bounded
+tables per worker; splits are found and looked up for many texts at once, as arrays of the texts' bytes.
 
 Defined results: null and empty texts have the end token only; a null doc_id is kept; repeated rows are packed as
 many times as they occur; no document, no piece.  Other columns are not read.
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.worker import once
+from quarry.llm.textvec import U64, mix
+from quarry.llm.worker import give_back, once
 from quarry.session import batch_rows, shared_path
 
 CAPACITY = 4096
@@ -45,9 +47,12 @@ LEAST = 16                      # no cut leaves fewer tokens than this
 BIN_PIECES = 100_000
 BATCH_ROWS = 1000               # documents sent to a worker at a time
 PART_CHARS = 1 << 18
-KEPT = 200_000                  # entries of each table of a worker
+KEPT = 400_000                  # splits of a worker's table; half as many words
 KEPT_LENGTH = 48
 TOGETHER = 2000                 # splits given to the library as one text
+SLOTS = 1 << 20                 # of the table of splits, over twice KEPT
+AT_ONCE = 1 << 16               # splits looked up at once
+KEY_BYTES = 23                  # longer splits are not kept
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"   # each a letter, unchanged by NFC, its lower case one letter of these
 OTHERS = re.compile(f"[^\x00-\x7f{LETTERS}]")
 PIECE = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
@@ -86,14 +91,158 @@ def splits_at_blanks(spec: dict) -> bool:
     return plain and drops and whole and not spec.get("truncation") and not spec.get("padding")
 
 
-def latin_splits(spec: dict) -> tuple[re.Pattern, bool]:
-    """For a file that ``splits_at_blanks``: its split as a pattern for texts of ASCII characters and
-    ``LETTERS``, and whether they are lower-cased first."""
+def latin_splits(spec: dict) -> bool | None:
+    """For a file that ``splits_at_blanks``: whether texts are lower-cased first, if ``find_splits`` splits texts of
+    ASCII characters and ``LETTERS`` as the file does; None if it does not."""
     normal, split = spec["normalizer"] or {}, spec["pre_tokenizer"]
-    lower = any(s["type"] == "Lowercase" for s in normal.get("normalizers", [normal]) if s)
     split = split["pretokenizers"][0] if split["type"] == "Sequence" else split
-    pattern = split["pattern"]["Regex"].replace("\\p{L}", LETTERS).replace("\\p{N}", "0-9").replace("\\s", " \\t-\\r")
-    return re.compile(pattern), lower
+    if split["pattern"]["Regex"] != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
+        return None
+    return any(s["type"] == "Lowercase" for s in normal.get("normalizers", [normal]) if s)
+
+
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_KIND = np.full(256, OTHER, dtype=np.uint8)
+_KIND[list(b" \t\n\x0b\x0c\r")] = SPACE
+_KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = LETTER
+_KIND[128:] = LETTER                                                  # bytes of LETTERS
+_KIND[list(b"0123456789")] = DIGIT
+
+
+def find_splits(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the splits of texts of ASCII characters and ``LETTERS`` (bytes, a blank at the end): runs of
+    letters, single digits, runs of others, and at the beginning of such a run ``'s 't 're 've 'm 'll 'd``."""
+    kind = _KIND[data]
+    before = np.zeros_like(kind)
+    before[1:] = kind[:-1]
+    new = (kind != before) | (kind == DIGIT)
+    mark = np.flatnonzero((data[:-1] == 39) & (before[:-1] != OTHER))
+    one, two = data[mark + 1], data[np.minimum(mark + 2, len(data) - 1)]
+    size = np.zeros(len(mark), dtype=np.int64)
+    for c in b"stmd":
+        size[one == c] = 2
+    for c, d in (b"re", b"ve", b"ll"):
+        size[(one == c) & (two == d)] = 3
+    mark, size = mark[size > 0], size[size > 0]
+    new[mark + 1] = False
+    new[mark + size] = True
+    end = new & (before != SPACE)
+    new &= kind != SPACE
+    return np.flatnonzero(new), np.flatnonzero(end)
+
+
+class Splits:
+    """Ids of splits, ``KEPT`` of them kept by open addressing: a key is the split's bytes and its length."""
+
+    def __init__(self, encode):
+        self.encode = encode                     # of a list of splits: all ids, and how many each has
+        self.forget()
+
+    def __len__(self) -> int:
+        return self.used
+
+    def forget(self) -> None:
+        self.used = self.n_ids = 0
+        self.slots = np.full(SLOTS, -1, dtype=np.int32)
+        self.keys = np.zeros((3, 1 << 12), dtype=U64)
+        self.begin, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, dtype="<u4")
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        joined = b" ".join([*raw, bytes(24)])
+        data = np.frombuffer(joined, dtype=np.uint8)
+        start, end = find_splits(data[:len(data) - 24])
+        first = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        bounds = np.searchsorted(start, first).tolist()
+        step = max(1, min(AT_ONCE, KEPT))
+        found = [self._found(joined, start[at:at + step], end[at:at + step]) for at in range(0, len(start), step)]
+        if not found:
+            return [b""] * len(texts)
+        ids = np.concatenate([i for i, _ in found])
+        cut = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in found]))])[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+    def _found(self, joined: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these splits, and how many each has."""
+        size = end - start
+        short = np.flatnonzero(size <= KEY_BYTES)
+        keys = _keys(joined, start[short], size[short])
+        entry = self._look_up(keys)
+        new = short[entry < 0]
+        if len(new):
+            lacks = np.unique(_hashes(keys[:, entry < 0]), return_index=True)[1]
+            if self.used + len(lacks) > KEPT:
+                self.forget()
+                entry[:] = -1
+            while len(open_ := np.flatnonzero(entry < 0)):              # again only for keys of one hash
+                some = open_[np.unique(_hashes(keys[:, open_]), return_index=True)[1]]
+                at = short[some]
+                self._keep(keys[:, some], *self.encode([joined[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())]))
+                entry[open_] = self._look_up(keys[:, open_])
+        begin, count, ids = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), self.ids
+        begin[short], count[short] = self.begin[entry], self.count[entry]
+        if len(short) < len(start):
+            at = np.flatnonzero(size > KEY_BYTES)
+            long = [joined[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())]
+            number = {w: i for i, w in enumerate(dict.fromkeys(long))}
+            more, n = self.encode(list(number))
+            which = np.array([number[w] for w in long])
+            begin[at], count[at] = (self.n_ids + np.cumsum(n) - n)[which], n[which]
+            ids = np.concatenate([ids[:self.n_ids], more])
+        to = np.cumsum(count)
+        return ids[np.repeat(begin - (to - count), count) + np.arange(int(to[-1]))], count
+
+    def _look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The entries of keys; -1: not kept."""
+        at = (_hashes(keys) & U64(SLOTS - 1)).astype(np.int64)
+        out = self.slots[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[:, out] != keys).any(axis=0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & SLOTS - 1
+            out[open_] = found = self.slots[at[open_]]
+            open_ = open_[(found >= 0) & (self.keys[:, found] != keys[:, open_]).any(axis=0)]
+        return out
+
+    def _keep(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """New entries, all different."""
+        n, n_ids = self.used + len(count), self.n_ids + len(ids)
+        if n > len(self.count):
+            self.keys, self.begin, self.count = (_longer(x, self.used, 2 * n) for x in (self.keys, self.begin, self.count))
+        if n_ids > len(self.ids):
+            self.ids = _longer(self.ids, self.n_ids, 2 * n_ids)
+        entry = np.arange(self.used, n)
+        self.keys[:, self.used:n], self.count[self.used:n] = keys, count
+        self.begin[self.used:n] = self.n_ids + np.cumsum(count) - count
+        self.ids[self.n_ids:n_ids] = ids
+        at = (_hashes(keys) & U64(SLOTS - 1)).astype(np.int64)
+        while len(entry):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entry[free]                           # of several, one stays
+            left = self.slots[at] != entry
+            entry, at = entry[left], at[left] + 1 & SLOTS - 1
+        self.used, self.n_ids = n, n_ids
+
+
+def _longer(x: np.ndarray, used: int, n: int) -> np.ndarray:
+    out = np.zeros((*x.shape[:-1], n), dtype=x.dtype)
+    out[..., :used] = x[..., :used]
+    return out
+
+
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
+
+
+def _keys(joined: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of splits of up to ``KEY_BYTES`` as three numbers, and in the last one's highest byte how many they are."""
+    words = np.ndarray(len(joined) - 7, dtype="<u8", buffer=joined, strides=(1,))
+    out = np.stack([words[start + 8 * i] & _MASK[np.clip(size - 8 * i, 0, 8)] for i in range(3)])
+    out[2] |= size.astype(U64) << U64(56)
+    return out
+
+
+def _hashes(keys: np.ndarray) -> np.ndarray:
+    return mix(keys[0] + mix(keys[1] + U64(0x9E3779B97F4A7C15) * keys[2]))
 
 
 def _blanks(text: str) -> str:
@@ -115,9 +264,9 @@ class Tokens:
         parsed = json.loads(spec)
         self.by_word = splits_at_blanks(parsed)
         self.words: dict[str, bytes] = {}
-        self.splits: dict[str, bytes] = {}
+        self.splits = Splits(self._encode_splits)
         if self.by_word:
-            self.pattern, self.lower = latin_splits(parsed)
+            self.lower = latin_splits(parsed)
             self.added = [t["content"].lower() for t in parsed["added_tokens"]]
             suffix = parsed["model"].get("end_of_word_suffix") or None
             size = self.library.get_vocab_size()
@@ -133,22 +282,22 @@ class Tokens:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _encode_splits(self, splits: list[str]) -> Iterator[bytes]:
-        """The ids of splits, many at a time: the last id of each ends a word."""
+    def _encode_splits(self, splits: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of splits, many at a time, and how many each has: the last id of each ends a word."""
+        out, counts = [], []
         for at in range(0, len(splits), TOGETHER):
             part = splits[at:at + TOGETHER]
             ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
-            if len(ends) != len(part) or ends[-1] != 4 * len(ids):     # a vocabulary without such ids
-                yield from self._encode(part)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for end in ends.tolist():
-                yield raw[begin:end]
-                begin = end
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):         # a vocabulary without such ids
+                each = self._encode(part)
+                ids, ends = np.frombuffer(b"".join(each), dtype="<u4"), np.cumsum([len(e) // 4 for e in each])
+            out.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(out), np.concatenate(counts)
 
     def _kept(self, kept: dict[str, bytes], rows: list[list[str]], encode) -> list[bytes]:
-        """The ids of rows of splits or words, from the table where they are in it, which holds ``KEPT`` of them."""
+        """The ids of rows of words, from the table where they are in it, which holds ``KEPT // 2`` of them."""
         out: list[bytes | None] = []
         for row in rows:
             try:
@@ -160,7 +309,7 @@ class Tokens:
             return out
         used = set().union(*open_rows)
         new = list(used.difference(kept))
-        if len(kept) + len(new) > KEPT:
+        if len(kept) + len(new) > KEPT // 2:
             kept.clear()
             new = list(used)
         kept.update(zip(new, encode(new)))
@@ -172,17 +321,14 @@ class Tokens:
 
     def _plain(self, text: str) -> str | None:
         """The normalised text, if its characters are ASCII or ``LETTERS`` and it holds no added token."""
-        if not text.isascii() and OTHERS.search(text):
+        if self.lower is None or not text.isascii() and OTHERS.search(text):
             return None
         low = text.lower()
         return None if any(t in low for t in self.added) else low if self.lower else text
 
-    def _split(self, texts: list[str]) -> list[bytes]:
-        return self._kept(self.splits, [self.pattern.findall(t) for t in texts], self._encode_splits)
-
     def _encode_words(self, words: list[str]) -> Iterator[bytes]:
         plain = [self._plain(w) for w in words]
-        split = iter(self._split([w for w in plain if w is not None]))
+        split = iter(self.splits.texts([w for w in plain if w is not None]))
         whole = iter(self._encode([w for w, p in zip(words, plain) if p is None]))
         return (next(whole if p is None else split) for p in plain)
 
@@ -190,7 +336,7 @@ class Tokens:
         if not self.by_word:
             return self._encode(texts)
         plain = [self._plain(t) for t in texts]
-        split = iter(self._split([t for t in plain if t is not None]))
+        split = iter(self.splits.texts([t for t in plain if t is not None]))
         rows = [_blanks(t).split(" ") for t, p in zip(texts, plain) if p is None]
         words = iter(self._kept(self.words, rows, self._encode_words))
         return [next(words if p is None else split) for p in plain]
@@ -233,6 +379,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: i
                     at += length
             yield _batch(rows)
             pa.default_memory_pool().release_unused()
+        give_back()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECE)
 
 

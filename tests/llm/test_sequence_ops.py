@@ -255,3 +255,33 @@ def test_packing_keeps_one_tokenizer_a_worker(spark, sf):
     for pid, made in after.items():
         assert len(made) == 1 and len(*made) <= 1
         assert before.get(pid, {()}) in ({()}, made)
+
+
+def test_splits_are_those_of_the_tokenizers_pattern():
+    """Bounds found on bytes against the pattern as a regular expression; the table keeps apart what shares a slot or
+    a hash, and the library sees a split that is kept once only."""
+    letters = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+    pattern = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^ \t-\r{letters}0-9]+")
+    rng = random.Random(7)
+    parts = ["'", "''", "'s", "'t", "'re", "'r", "'ve", "'m", "'ll", "'l", "'d", "s", "é", "ſ", "1", "22", "!", "_", "\x00", "\x1c", " ", "\n", "y" * 22]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 15))) for _ in range(3000)]
+    for text in texts:
+        raw = text.encode()
+        start, end = harmonic_packing.find_splits(np.frombuffer(raw + b" ", dtype=np.uint8))
+        assert [raw[a:b].decode() for a, b in zip(start, end)] == pattern.findall(text)
+    asked = []
+
+    def encode(splits):
+        asked.extend(splits)
+        ids = [np.frombuffer(s.encode("utf-32-le"), dtype="<u4") for s in splits]
+        return np.concatenate(ids), np.array([len(i) for i in ids])
+    wanted = ["".join(pattern.findall(t)).encode("utf-32-le") for t in texts]
+    with mock.patch.object(harmonic_packing, "SLOTS", 1 << 14):
+        for hashes in (harmonic_packing._hashes, lambda keys: keys[2] >> np.uint64(56)):
+            asked.clear()
+            with mock.patch.object(harmonic_packing, "_hashes", hashes):
+                splits = harmonic_packing.Splits(encode)
+                for _ in range(2):
+                    assert [ids for at in range(0, len(texts), 100) for ids in splits.texts(texts[at:at + 100])] == wanted
+            short = [s for s in asked if len(s.encode()) <= harmonic_packing.KEY_BYTES]
+            assert len(short) == len(set(short)) == len(splits)
